@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, media
+from . import exact_dedup, license_scan, media, packing, token_files
 from .common import documents
 
 QUERIES = {
     "op1_license_scan": lambda spark, d: license_scan.op1(documents(spark, d)),
     "op2_media_columns": lambda spark, d: media.op2(documents(spark, d)),
+    "op4_packing": lambda spark, d: packing.op4(spark, documents(spark, d)),
     "op5_exact_dedup": lambda spark, d: exact_dedup.op5(spark, documents(spark, d)),
+    "op6_token_files": lambda spark, d: token_files.op6(spark, documents(spark, d)),
 }
 SQL = {"op5_exact_dedup": exact_dedup.ORACLE}
