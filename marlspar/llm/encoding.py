@@ -1,15 +1,20 @@
 """Whole-text encoding with the tokenizers library, each distinct chunk encoded once a worker.
 
 A text is cut where the tokenizer's own pre-tokenizer must cut too, so that the chunks' ids joined are
-the text's ids. Chunks and their ids are kept in two generations of bounded size.
+the text's ids; a chunk that is new is put together from its pre-tokens. Both kinds are kept with their
+ids, in tables of bounded size.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
+from array import array
 
 import numpy as np
+import regex
 
 _SPACE_AFTER_BLANK = re.compile(r"\s ")
 
@@ -31,47 +36,78 @@ def cut_at_spaces(text: str) -> list[str]:
     return out
 
 
+#: Pre-tokens of byte-level files, with the blanks that Unicode means.
+_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Pre-tokens of word files, which lower-case afterwards.
+_WORD_PIECES = regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+
+
+class _Known(dict):
+    """Values made on first use. make() says whether to keep one. When it holds more than `most`, it
+    becomes the old generation, whose values move over as they are used."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value, keep = self.make(key)
+            if not keep:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Texts to ids as little-endian bytes, 2 an id where the vocabulary allows it, else 4."""
 
-    def __init__(self, path: str, byte_level: bool, most: int = 300_000):
-        """byte_level: spaces belong to the following chunk; else blanks are dropped. most: chunks a generation."""
+    def __init__(self, path: str, byte_level: bool, most: int = 600_000):
+        """byte_level: spaces belong to the following chunk; else blanks are dropped. most: chunks kept, and half as many pre-tokens."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.byte_level, self.most = byte_level, most
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        missing = []
-        for chunk in chunks.difference(self.new):
-            if (known := self.old.get(chunk)) is not None:
-                self.new[chunk] = known
-            else:
-                missing.append(chunk)
-        lead = " " if self.byte_level else ""
-        self.new.update(zip(missing, self._ids([lead + x for x in missing]), strict=True))
+        self.byte_level = byte_level
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self._code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self._findall = (_BYTE_PIECES if byte_level else _WORD_PIECES).findall
+        self.pieces = _Known(lambda x: (self._ids(x), True), most // 2)
+        self.chunks = _Known(self._chunk, most)
+
+    def _ids(self, text: str) -> bytes:
+        ids = array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bool]:
+        """A chunk's ids by its pre-tokens, where cutting it can't change how it is normalised; whether it may come again."""
+        if self.byte_level:
+            chunk = " " + chunk
+        elif not chunk.isascii() and ("\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk)):
+            return self._ids(chunk), False
+        pieces = self._findall(chunk)
+        if len(pieces) == 1:
+            return self._ids(chunk), True
+        return b"".join(map(self.pieces.__getitem__, pieces)), len(pieces) == 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A list small enough that its chunks fit in memory; see groups()."""
-        if self.byte_level:
-            cut = [cut_at_spaces(x) for x in texts]
-            heads = self._ids([x[0] for x in cut])
-            rest = [x[1:] for x in cut]
-        else:
-            heads = [b""] * len(texts)
-            rest = [x.replace("\n", " ").split(" ") for x in texts]
-        self._learn(set().union(*rest))
-        get = self.new.__getitem__
-        return [head + b"".join(map(get, x)) for head, x in zip(heads, rest, strict=True)]
+        get, out = self.chunks.__getitem__, []
+        for text in texts:
+            if self.special.search(text):
+                out.append(self._ids(text))
+            elif self.byte_level:
+                head, *rest = cut_at_spaces(text)
+                out.append(b"".join((self._ids(head), *map(get, rest))))
+            else:
+                out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
+        return out
 
 
 def groups(texts: list[str], most: int = 1 << 20):

@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "start", "ids_crc32", "doc_tokens")
-    ranked = salted.withColumn("nth", F.row_number().over(own)).join(F.broadcast(bases), ["length", "salt"])
+    ranked = salted.withColumn("nth", F.row_number().over(own)).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth") - 1).alias("rank"))
     return map_batches(ranked, _place(slots), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
