@@ -82,6 +82,19 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return out.select("doc_id", "digest", "keep_id", "group_size", "copy", (~F.col("seen") & (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "seen")
 
 
+def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns; what goes is found by id and digest, and joined
+    away in whatever way its size allows."""
+    found = deduplicate(docs, index, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept", "copy")
+    found = stage(found.filter("NOT kept"), "gone")
+    keyed = docs.withColumn("__own", digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    out = keyed.join(found.filter("copy = 1").select("__id", "__digest"), same, "left_anti")
+    if not found.filter("copy > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__own"])
+    return out.drop("__own")
+
+
 def temporary_index(spark: SparkSession) -> DigestIndex:
     """An index of its own name in the warehouse, for one run over a whole table."""
     return DigestIndex(spark, f"marlspar_digests_{uuid.uuid4().hex}")

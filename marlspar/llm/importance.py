@@ -1,12 +1,14 @@
 """Quality classification by importance resampling over hashed n-grams, sampled by Gumbel top-k.
 
-Words and runs of punctuation, in their own case, are hashed as unigrams and bigrams into 2^16 buckets.
+Words and runs of punctuation, in their own case, are hashed as unigrams and bigrams into 2^16 buckets;
+all bigrams of a word and itself share a bucket.
 The target model counts the buckets of a bounded sample of documents labelled good, the raw model those
-of all documents; a document's log weight is the sum of its n-grams' log ratios. The sample of k
+of all documents; a document's log weight is the sum of its n-grams' log ratios, scaled down to 64
+n-grams in longer documents (else a long text's small bias outweighs everything). The sample of k
 documents without replacement is the k largest values of log weight plus Gumbel noise (from a hash of
 the id, so that a task that runs again draws the same). Unless k is given it is the number of
-documents that are more likely good than not: share * weight >= 1/2, share being the part of the
-labels that say good. The k-th value is found by counting bins, a bounded table each round.
+documents that are not clearly bad: share * weight >= 0.02, share being the part of the labels that
+say good. The k-th value is found by counting bins, a bounded table each round.
 
 Bounds: TARGET_ROWS labelled rows for the target model; 2^16 rows of counts reach the driver; each
 round of the selection brings it at most BINS rows.
@@ -30,11 +32,15 @@ from .hashing import WORDS_AND_MARKS, mix, tokens
 BITS = 16
 #: Bound of the sample of good documents that the target model is fitted on (the least hashes of ids).
 TARGET_ROWS = 20_000
-#: Pseudo-count, in target n-grams, that draws each bucket's ratio to 1: what few counts say, weighs little.
-SMOOTHING = 8.0
-#: Each ratio is drawn to 1 by so many deviations of its sampling error: else a group of copies of one
-#: good text stands or falls, all its n-grams together, with how many of them happen to be labelled.
-DEVIATIONS = 3.0
+#: Pseudo-count, in target n-grams, that draws each bucket's ratio to 1: else a group of copies of one good
+#: text stands or falls, all its n-grams together, with how many of them happen to be labelled.
+SMOOTHING = 64.0
+#: A document counts against k only if it is this unlikely to be good: doubtful ones are kept.
+DOUBT = 0.02
+#: A document's n-grams are not independent: their sum counts as that of so many at most, at their mean.
+EVIDENCE = 64
+#: The hash of any word followed by itself: a repeated word is one feature, whatever the word.
+TWICE = np.uint64(0x5851F42D4C957F2D)
 BINS = 4096
 #: Keys are compared as whole numbers of this fraction.
 STEPS = 1 << 20
@@ -46,6 +52,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(words) == 0:
         return owner, words.astype(np.int64)
     pairs = mix(words[:-1] * np.uint64(3) + words[1:])
+    pairs[words[1:] == words[:-1]] = TWICE
     inside = owner[1:] == owner[:-1]
     buckets = np.concatenate([words, pairs[inside]]) >> np.uint64(64 - BITS)
     return np.concatenate([owner, owner[1:][inside]]), buckets.astype(np.int64)
@@ -77,9 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> t
     if not target.sum():
         return np.zeros(1 << BITS), 1.0
     expected = raw * (target.sum() / raw.sum())
-    ratios = np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
-    margin = DEVIATIONS / np.sqrt(expected + SMOOTHING)
-    return np.sign(ratios) * np.maximum(np.abs(ratios) - margin, 0), share
+    return np.log(target + SMOOTHING) - np.log(expected + SMOOTHING), share
 
 
 def _weigh(ratios: np.ndarray):
@@ -92,6 +97,7 @@ def _weigh(ratios: np.ndarray):
                 n.append(np.bincount(owner, minlength=last - first))
                 weight.append(np.bincount(owner, ratios[buckets], minlength=last - first))
             n, weight = (np.concatenate(x) if x else np.zeros(0) for x in (n, weight))
+            weight = weight / np.maximum(n, 1) * np.minimum(n, EVIDENCE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), pa.array(weight.astype(np.float64))], names=[*batch.schema.names[:-1], "__n_ngrams", "__log_weight"])
 
     return run
@@ -129,14 +135,16 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 42, keep_columns: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id (or all its columns), n_ngrams, log_weight, gumbel_key, kept."""
+    """One row for each row of docs: doc_id (or all its columns), __n_ngrams, __log_weight, __key, __kept.
+
+    Only ids and weights are staged; with keep_columns the texts are weighed once more as they pass."""
     ratios, share = fit(docs, labels)
-    scored = stage(weigh(docs, ratios, seed, keep_columns=keep_columns), "weights")
+    scored = stage(weigh(docs, ratios, seed), "weights")
     if k is None:
-        k = scored.filter(F.col("__log_weight") >= float(np.log(0.5 / share))).count() if share else 0
+        k = scored.filter(F.col("__log_weight") >= float(np.log(DOUBT / share))).count() if share else 0
     least = kth_largest(scored.select("__key"), k)
-    kept = F.lit(False) if least is None else F.col("__key") >= least
-    return scored.withColumn("__kept", kept)
+    out = weigh(docs, ratios, seed, keep_columns=True) if keep_columns else scored
+    return out.withColumn("__kept", F.lit(False) if least is None else F.col("__key") >= least)
 
 
 def op10(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
