@@ -1,19 +1,27 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Words are runs of digits, ASCII letters (A-Z lower-cased) and characters above ASCII; shingles are five
-consecutive words, or all words of a shorter text. A shingle's weight is its count in the document
-times 1 + idf / ln(1 + N), idf = ln((1 + N) / (1 + df)), with df counted over all N documents in 2^18
+consecutive words, or all words of a shorter text. A shingle's weight is 1 + ln(count) in the
+document (a line repeated a thousand times must not outweigh all else) times 1 + idf / ln(1 + N), idf = ln((1 + N) / (1 + df)), with df counted over all N documents in 2^18
 hash buckets: a table of fixed size whatever the corpus. The factor lies between 1 and 2, so that the
 copies of a very large group, whose shared shingles are the most frequent of all, stay similar.
 
 1. Every text gets a node (128 bits of its word sequence; equal sequences are one node), and 42
    consistent weighted samples (shingle, quantised weight) in 14 bands of 3.
-2. In each band bucket every node is compared with the least node: a star, not all pairs. Weighted
-   Jaccard similarity is computed on the whole texts; 0.8 or more is a link.
-3. A node that its star's centre does not link is compared with the other nodes of the bucket that it
-   is not yet connected to, unless the triangle inequality of the Jaccard distance rules a link out
-   (|sim(x, centre) - sim(y, centre)| > 0.2). So every pair that shares a bucket is linked, connected
-   by links, or refuted: stars lose no link.
+2. In each band bucket every node is compared with one centre: a star, not all pairs. A bucket proposes its
+   node of the most common shingles (of a family of copies that is the original, which holds none of the
+   copies' own changes); a node takes what most of its buckets propose, and a bucket what most of its nodes
+   took, so that the buckets of one family agree. Weighted Jaccard similarity is computed on the whole texts; 0.8
+   or more is a link.
+3. A node x that its centre c does not link may still link to another node y of the star. Let dx = x - r as
+   weight vectors, r being the centre
+   without the shingles that are too rare for half of the star, or zero in stars whose nodes are nearer to zero, |.| the sum of absolute weights, T = (1 - 0.8) / (1 + 0.8). A link means
+   |x - y| <= T (|x| + |y|), and |x - y| >= |dx| + |dy| - 2 overlap(dx, dy), so the deviations from
+   r must overlap by (|dx| + |dy| - T (|x| + |y|)) / 2. With the parts of dy in one fixed order, rare
+   buckets first, the first common part has at least that much weight from it on. Joining on (star, part) under these bounds finds every possible pair that needs common parts; those
+   that need none, |dx| + |dy| <= T (|x| + |y|), are links all, and the node with the least |d| - T |.| of
+   the star has one to each of theirs; independent variants of
+   one text share no rare part and meet nobody. What is found is verified. Stars lose no link.
 4. Connected components of the links are the classes; the least doc_id of a class is its class_id.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8^3)^14 = 4e-5.
@@ -124,7 +132,7 @@ def signature(hashes: np.ndarray, weights: np.ndarray, bands: int = BANDS, rows:
 def weighted(hashes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, ascending, and their weights in one document."""
     own, counts = np.unique(hashes, return_counts=True)
-    return own, counts * factors[own >> np.uint64(64 - DF_BITS)]
+    return own, (1 + np.log(counts)) * factors[own >> np.uint64(64 - DF_BITS)]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,32 +160,54 @@ def _document_frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(counts[found], n))], ["bucket", "df"])
 
 
-def factors(docs: DataFrame) -> np.ndarray:
-    """The weight factor of each hash bucket; 2^18 + 1 counts reach the driver."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(documents that hold a shingle of each hash bucket, all documents); 2^18 + 1 counts reach the driver."""
     counted = map_batches(docs.select("text"), _document_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     bucket, df = counted["bucket"].to_numpy(), counted["df"].to_numpy()
-    table, n = np.zeros(1 << DF_BITS), int(df[bucket == -1].sum())
+    table = np.zeros(1 << DF_BITS, np.int64)
     table[bucket[bucket >= 0]] = df[bucket >= 0]
-    return 1 + np.log((1 + n) / (1 + table)) / max(np.log(1 + n), 1e-9)
+    return table, int(df[bucket == -1].sum())
+
+
+def factors(df: np.ndarray, n: int) -> np.ndarray:
+    """The weight factor of each hash bucket."""
+    return 1 + np.log((1 + n) / (1 + df)) / max(np.log(1 + n), 1e-9)
 
 
 def _sketch(table):
     def run(batches):
         for batch in batches:
             data, at = flat(batch["text"])
-            keys, bands = [], []
+            keys, bands, rarity = [], [], []
             for first, last in blocks(at):
                 owner, words = tokens(data, at[first : last + 1])
                 hashes, own = shingles(owner, words, last - first)
                 keys += nodes(owner, words, last - first)
                 for i in range(last - first):
                     part = hashes[own[i] : own[i + 1]]
-                    bands.append(signature(*weighted(part, table.value)) if len(part) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                    distinct = weighted(part, table.value)
+                    bands.append(signature(*distinct) if len(part) else None)
+                    rarity.append(round(float(distinct[1].sum() / len(part)), 9) if len(part) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(rarity, pa.float64())], ["doc_id", "node", "bands", "rarity"])
 
     return run
 
 
+def deviation(x: tuple[np.ndarray, np.ndarray], centre: tuple[np.ndarray, np.ndarray], factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, behind): the signed differences of x from the centre, rare buckets first, and the absolute
+    weight from each part to the end."""
+    both = np.union1d(x[0], centre[0])
+    difference = np.zeros(len(both))
+    difference[np.searchsorted(both, x[0])] += x[1]
+    difference[np.searchsorted(both, centre[0])] -= centre[1]
+    some = np.abs(difference) > 1e-12
+    both, difference = both[some], difference[some]
+    order = np.lexsort((both, -factors[both >> np.uint64(64 - DF_BITS)]))
+    both, difference = both[order], difference[order]
+    parts = both ^ np.where(difference > 0, _OTHER, np.uint64(0))
+    return parts.view(np.int64), np.cumsum(np.abs(difference)[::-1])[::-1].copy()
+
+
 def _check_node(batches):
     """Keep the rows whose text has the node that is asked for: ids may repeat."""
     for batch in batches:
@@ -188,58 +218,112 @@ def _check_node(batches):
         yield batch.filter(pa.array([a == b for a, b in zip(keys, batch["node"].to_pylist())], pa.bool_()))
 
 
+def _sides(table):
+    """Weighted shingles of a node's text; the latest nodes are kept, as rows of one star come together."""
+    seen: dict[bytes, tuple] = {}
+
+    def side(key: bytes, data, a: int, b: int):
+        if key not in seen:
+            if len(seen) >= 256:
+                seen.clear()
+            owner, words = tokens(data, np.array([a, b], np.int64))
+            seen[key] = weighted(shingles(owner, words, 1)[0], table.value)
+        return seen[key]
+
+    def pairs(batch):
+        a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+        (data_a, at_a), (data_b, at_b) = flat(batch["text_a"]), flat(batch["text_b"])
+        for i in range(batch.num_rows):
+            yield side(a[i], data_a, at_a[i], at_a[i + 1]), side(b[i], data_b, at_b[i], at_b[i + 1])
+
+    return pairs
+
+
 def _compare(table):
     def run(batches):
-        seen: dict[bytes, tuple] = {}
+        pairs = _sides(table)
+        for batch in batches:
+            found = [(weighted_jaccard(x, y), x[1].sum(), y[1].sum()) for x, y in pairs(batch)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))], ["a", "b", "sim", "total_a", "total"])
 
-        def side(key: bytes, data, a: int, b: int):
-            if key not in seen:
-                if len(seen) >= 256:
-                    seen.clear()
-                at = np.array([a, b], np.int64)
-                owner, words = tokens(data, at)
-                seen[key] = weighted(shingles(owner, words, 1)[0], table.value)
-            return seen[key]
+    return run
+
+
+def _deviate(table, frequencies, similarity: float):
+    bound = (1 - similarity) / (1 + similarity)
 
+    def run(batches):
+        pairs = _sides(table)
         for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            (data_a, at_a), (data_b, at_b) = flat(batch["text_a"]), flat(batch["text_b"])
-            found = [weighted_jaccard(side(a[i], data_a, at_a[i], at_a[i + 1]), side(b[i], data_b, at_b[i], at_b[i + 1])) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], ["a", "b", "sim"])
+            rows = []
+            for (c, y), n, centred in zip(pairs(batch), batch["n"].to_pylist(), batch["centred"].to_pylist(), strict=True):
+                held = frequencies.value[c[0] >> np.uint64(64 - DF_BITS)] >= n / 2 if centred else np.zeros(len(c[0]), bool)
+                parts, behind = deviation(y, (c[0][held], c[1][held]), table.value)
+                size, total = behind[0] if len(behind) else 0.0, y[1].sum()
+                # what an unlinked x must share with y at least: |dx| > T (|x| + |c|) - |c - r|, and |dx| = |x| if r is zero
+                least = (size + bound * (c[1].sum() - total) - c[1][~held].sum()) / 2 if centred else (1 - bound) / 2 * (1 + similarity) * total
+                rows.append((parts, behind, size, least))
+            kinds = pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64()
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "b", "sim", "total")), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["a", "b", "sim", "total", "parts", "behind", "size", "least"])
 
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
-    """pairs (a, b) with their similarity sim, staged."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return stage(map_batches(pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b"), _compare(table), "a binary, b binary, sim double"), "similar")
+    return pairs.join(own, "a").join(other, "b").select(*pairs.columns, "text_a", "text_b")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
+    """pairs (a, b) with their similarity sim and the total weights of a and b, staged."""
+    return stage(map_batches(_with_texts(pairs, texts), _compare(table), "a binary, b binary, sim double, total_a double, total double"), "similar")
+
+
+def _within_stars(star: DataFrame, label: DataFrame, texts: DataFrame, table, frequencies, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of one star, of different labels so far, that may be similar; see the module."""
+    bound, slack = (1 - similarity) / (1 + similarity), 1e-6
+    apart = (1 - F.col("sim")) / (1 + F.col("sim")) * (F.col("total_a") + F.col("total"))
+    stars = star.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("worst"), (F.avg(apart) < F.avg("total")).alias("centred"))
+    several = stars.filter((F.col("n") > 1) & (F.col("worst") < similarity)).select("a", "n", "centred")
+    wide = _with_texts(star.select("a", "b", "sim", "total").join(several, "a"), texts)
+    parts = map_batches(wide, _deviate(table, frequencies, similarity), "a binary, b binary, sim double, total double, parts array<long>, behind array<double>, size double, least double")
+    named = stage(parts.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b")), "parts")
+    own = ["a", "b", "sim", "total", "label", "size", "least"]
+    part = named.select(*own, F.explode(F.arrays_zip("parts", "behind")).alias("p")).select(*own, F.col("p.parts").alias("part"), F.col("p.behind").alias("behind"))
+    x = part.filter(F.col("sim") < similarity).select("a", "part", *(F.col(c).alias(f"x_{c}") for c in ("b", "total", "label", "size", "behind")))
+    y = part.filter(F.col("behind") >= F.col("least") - slack)
+    shared = (F.col("x_size") + F.col("size") - bound * (F.col("x_total") + F.col("total"))) / 2 - slack
+    fits = F.least("total", "x_total") >= (similarity - slack) * F.greatest("total", "x_total")
+    near = x.join(y, ["a", "part"]).filter((F.col("label") != F.col("x_label")) & fits & (F.col("behind") >= shared) & (F.col("x_behind") >= shared))
+    far = named.select("a", "b", (F.col("size") - bound * F.col("total")).alias("far"))
+    nearest = far.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("x_b"), F.col("m.far").alias("least_far"))
+    close = far.join(nearest, "a").filter((F.col("far") + F.col("least_far") <= slack) & (F.col("b") != F.col("x_b")))
+    both = near.select("x_b", "b").unionByName(close.select("x_b", "b"))
+    return both.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, class_id (see the module)."""
     spark, own = docs.sparkSession, narrow(docs, id_col, text_col, binary=True)
-    table = spark.sparkContext.broadcast(factors(own).astype(np.float64))
-    rows = stage(map_batches(own, _sketch(table), "doc_id long, node binary, bands array<long>"), "sketches")
-    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
-    member = stage(known.select("node", "least_id", F.explode("bands").alias("bucket")), "members")
-    shared = member.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("bucket", "centre")
-    member = stage(member.join(shared, "bucket"), "shared")
+    df, n = document_frequencies(own)
+    table, frequencies = spark.sparkContext.broadcast(factors(df, n)), spark.sparkContext.broadcast(df)
+    rows = stage(map_batches(own, _sketch(table), "doc_id long, node binary, bands array<long>, rarity double"), "sketches")
+    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min("rarity").alias("rarity"))
+    member = stage(known.select("node", "least_id", F.struct("rarity", "node").alias("best"), F.explode("bands").alias("bucket")), "members")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("best").alias("best")).filter("n > 1").select("bucket", "best")
+    member = stage(member.drop("best").join(shared, "bucket"), "shared")
+    often = lambda rows, of, what: rows.groupBy(of, what).agg(F.count("*").alias("n")).groupBy(of).agg(F.min(F.struct((-F.col("n")).alias("n"), what))[what].alias("most"))
+    hub = often(member, "node", "best").withColumnRenamed("most", "hub")
+    centre = often(member.join(hub, "node"), "bucket", "hub").select("bucket", F.col("most.node").alias("centre"))
     wanted = member.select("node", "least_id").distinct()
     found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["least_id"])).select("node", "text")
     texts = stage(map_batches(found, _check_node, "node binary, text binary").dropDuplicates(["node"]), "texts")
 
-    star = _verify(member.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts, table)
-    linked = star.filter(F.col("sim") >= similarity)
-    label = components(linked)
-
-    near = member.filter("node != centre").join(star, (F.col("centre") == F.col("a")) & (F.col("node") == F.col("b"))).select("bucket", "node", "sim")
-    near = stage(near.join(label, "node", "left").select("bucket", "node", "sim", F.coalesce("label", "node").alias("label")), "near")
-    left = near.filter(F.col("sim") < similarity).select("bucket", F.col("node").alias("x"), F.col("sim").alias("sim_x"), F.col("label").alias("label_x"))
-    ruled_out = F.abs(F.col("sim_x") - F.col("sim")) > 1 - similarity + 1e-9
-    rest = left.join(near, "bucket").filter((F.col("label") != F.col("label_x")) & ~ruled_out & ((F.col("sim") >= similarity) | (F.col("x") < F.col("node"))))
-    rest = _verify(rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), texts, table)
+    spokes = member.join(centre, "bucket").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = _verify(spokes, texts, table)
+    label = components(star.filter(F.col("sim") >= similarity).select("a", "b"))
+    rest = _verify(_within_stars(star, label, texts, table, frequencies, similarity), texts, table)
     more = rest.filter(F.col("sim") >= similarity).select("a", "b")
     label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 

@@ -80,6 +80,10 @@ def _sequence(items) -> tuple[set[str] | None, frozenset]:
     query, spelled, exact = _TRUE, {""}, True
     for kind, value in items:
         own, own_query = _part(kind, value)
+        if own is None and kind in (codes.MAX_REPEAT, codes.MIN_REPEAT) and value[0]:
+            once = _sequence(value[2])[0]  # what is repeated stands here once at least
+            if once is not None and len(once) * len(spelled) <= MOST:
+                spelled = {a + b for a in spelled for b in once}
         if own is not None and len(own) * len(spelled) <= MOST:
             spelled = {a + b for a in spelled for b in own}
             continue
