@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import FUSION, RANK_CONSTANT
 from ..functions.scoring import recency, strength
+from ..storage import stage
 
 SOURCES = tuple(FUSION)
 SESSION_ITEMS, CATEGORIES = 10, 5
@@ -125,18 +126,18 @@ def plain_scores(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph
     out = found.groupBy("g", "ctx", "item_id").agg(
         _total(value).alias("score"), _total(value * recency(F.col("at"), F.col("timestamp"))).alias("recent_score"), F.count("*").alias("n_sources"), F.max("similarity").alias("max_similarity")
     )
-    return out.persist()  # ranked, joined and reduced to its maxima by the callers
+    return stage(out, "scores")  # ranked, joined and reduced to its maxima by the callers
 
 
 def backfilled(contexts: DataFrame, scored: DataFrame, seen: DataFrame, graph: Graph, most: int) -> DataFrame:
     """(g, ctx, item_id, rank, tier): scored candidates first, then popular items, `most` in all."""
     order = Window.partitionBy("g", "ctx").orderBy(F.desc("score"), "item_id")
     first = scored.select("g", "ctx", "item_id", F.lit(0).alias("tier"), F.row_number().over(order).alias("nth")).filter(F.col("nth") <= most)
-    first = first.persist()
+    first = stage(first, "first")
     popular = popular_source(contexts, seen.select("g", "ctx", "item_id").unionByName(first.select("g", "ctx", "item_id")), graph, most)
     both = first.unionByName(popular.select("g", "ctx", "item_id", F.lit(1).alias("tier"), F.col("rank").alias("nth")))
     place = Window.partitionBy("g", "ctx").orderBy("tier", "nth")
-    return both.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).select("g", "ctx", "item_id", "rank", "tier")
+    return stage(both.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).select("g", "ctx", "item_id", "rank", "tier"), "pool")
 
 
 def context_sizes(contexts: DataFrame, history: DataFrame, seen: DataFrame) -> DataFrame:
@@ -197,8 +198,8 @@ def fallback_features(rows: DataFrame, contexts: DataFrame, history: DataFrame,
 def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100, fallback: str = "popularity") -> DataFrame:
     """The fused pool with thirteen features; (g, ctx, item_id, rank, ENRICHED...). Items outside the base pool
     get fallback features ("popularity") or zeros ("zeros")."""
-    fused = fuse(sources(contexts, history, seen, graph, most), most).persist()
-    base = base_features(contexts, history, seen, graph, most).drop("rank")
+    fused = stage(fuse(stage(sources(contexts, history, seen, graph, most), "sources"), most), "fused")
+    base = stage(base_features(contexts, history, seen, graph, most).drop("rank"), "base")
     held = fused.join(base.withColumn("held", F.lit(True)), ["g", "ctx", "item_id"], "left")
     if fallback == "popularity":
         spare = fallback_features(fused.select("g", "ctx", "item_id"), contexts, history, seen, graph)

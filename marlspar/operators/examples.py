@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import FOLDS
 from ..functions.scoring import knuth_bucket
+from ..storage import stage
 from .candidates import BASE, ENRICHED, enriched_pool, fallback_features
 from .windows import Rolling, cutoff, number
 
@@ -18,7 +19,7 @@ def history_text(window: Rolling) -> DataFrame:
 
 
 def pool(window: Rolling, most: int = 100) -> DataFrame:
-    return enriched_pool(window.contexts, window.history, window.seen, window.graph, most).persist()
+    return stage(enriched_pool(window.contexts, window.history, window.seen, window.graph, most), "pool")
 
 
 def rolling_examples(window: Rolling, validation_start: int, most: int = 100, negatives: int = 20) -> DataFrame:
@@ -27,7 +28,7 @@ def rolling_examples(window: Rolling, validation_start: int, most: int = 100, ne
     pool, with an unretrieved target added for audit."""
     found = window.found.select("g", "ctx", "user_id", F.col("item_id").alias("target"), F.col("timestamp"), F.when(F.col("timestamp") < validation_start, "train").otherwise("validation").alias("split"))
     rows = pool(window, most).join(found, ["g", "ctx"]).withColumn("label", (F.col("item_id") == F.col("target")).cast("int"))
-    rows = rows.withColumn("retrieved", F.max("label").over(Window.partitionBy("g", "ctx"))).persist()
+    rows = stage(rows.withColumn("retrieved", F.max("label").over(Window.partitionBy("g", "ctx"))), "labelled")
     wrong = rows.filter("label = 0").withColumn("nth", F.row_number().over(Window.partitionBy("g", "ctx").orderBy("rank")))
     kept = wrong.filter((F.col("split") == "validation") | (F.col("nth") <= negatives)).drop("nth").unionByName(rows.filter("label = 1"))
     missing = found.join(rows.filter("retrieved = 1").select("g", "ctx").distinct(), ["g", "ctx"], "left_anti")
@@ -50,7 +51,8 @@ def fold_examples(window: Rolling, most: int = 100, n_folds: int = len(FOLDS)) -
     validates."""
     found = window.found.select("g", "ctx", "user_id", F.col("item_id").alias("target"), "timestamp", "seq")
     rows = pool(window, most).join(found, ["g", "ctx"]).withColumn("label", (F.col("item_id") == F.col("target")).cast("int"))
-    rows = rows.withColumn("retrieved", F.max("label").over(Window.partitionBy("g", "ctx"))).filter("retrieved = 1").persist()
+    rows = rows.withColumn("retrieved", F.max("label").over(Window.partitionBy("g", "ctx"))).filter("retrieved = 1")
+    rows = stage(rows, "labelled")
     kept = number(rows.select("g", F.col("ctx").alias("old"), "user_id", "seq").distinct()).select("g", F.col("old").alias("ctx"), F.col("ctx").alias("example_id"))
     role = F.when(F.col("g") == n_folds - 1, "validation").otherwise("train")
     return rows.join(kept, ["g", "ctx"]).join(history_text(window), ["g", "ctx"]).select(
@@ -84,7 +86,8 @@ def complete_lists(examples: DataFrame, size: int = 100) -> DataFrame:
 def item_index(items: DataFrame) -> DataFrame:
     """(item_id, idx): dense index of the sorted distinct items from 1, numbered part by part of a range
     partitioning so that no task sorts the whole catalogue. 0 is for unknown items."""
-    spread = items.select("item_id").filter("item_id IS NOT NULL").distinct().repartitionByRange("item_id").withColumn("part", F.spark_partition_id()).persist()
+    spread = items.select("item_id").filter("item_id IS NOT NULL").distinct().repartitionByRange("item_id").withColumn("part", F.spark_partition_id())
+    spread = stage(spread, "items")
     counts = spread.groupBy("part").agg(F.count("*").alias("n"))
     bases = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return spread.join(F.broadcast(bases), "part").select("item_id", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("item_id"))).alias("idx"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import discount, ideal_gain, relative_pct
+from ..storage import stage
 
 
 def hits(ranked: DataFrame, truth: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def latency_summary(samples: DataFrame, wall_seconds: Column, value: str = "late
     """One row: requests, mean, nearest-rank p50, p95, p99 (index (n - 1) * f, halves to even), requests a second.
 
     Values are counted by value and the counts cumulated part by part, so that no task orders all samples."""
-    counts = samples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
+    counts = samples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    counts = stage(counts, "values")
     parts = counts.groupBy("part").agg(F.sum("n").alias("n_part"))
     base = parts.select("part", F.coalesce(F.sum("n_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     until = Window.partitionBy("part").orderBy("v")

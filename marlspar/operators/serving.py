@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import RANK_CONSTANT
 from ..functions.scoring import strength
+from ..storage import stage
 
 ITEM_EVENTS, SESSION_EVENTS, SOURCE_ITEMS = 50, 10, 100
 
@@ -49,8 +50,8 @@ def recommend(users: DataFrame, items: DataFrame, neighbors: DataFrame, transiti
         raise ValueError("count lies between 1 and 100")
     known = online_history(users)
     asked = users.select("user_id") if requests is None else requests.select("user_id").distinct()
-    history = known.join(asked, "user_id", "left_semi").persist()
-    item, session = _scored(history, neighbors, "similarity", ITEM_EVENTS), _scored(history, transitions, "transition_score", SESSION_EVENTS)
+    history = stage(known.join(asked, "user_id", "left_semi"), "history")
+    item, session = (stage(_scored(history, *x), "scores") for x in ((neighbors, "similarity", ITEM_EVENTS), (transitions, "transition_score", SESSION_EVENTS)))
     item_list, session_list = _ranked(item), _ranked(session)
     sizes = asked.join(history.groupBy("user_id").agg(F.count("*").alias("n_seen")), "user_id", "left").select("user_id", F.coalesce("n_seen", F.lit(0)).alias("n_seen"))
     head = popular_items(items, max(SOURCE_ITEMS, count + ITEM_EVENTS))  # a user has seen 50 items at most

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import FOLDS, RELEVANT
+from ..storage import stage
 from . import candidates, graph, history, profile
 
 MAX_HISTORY, NEIGHBORS, SESSION_GAP, SESSION_EVENTS = 50, 100, 30, 200
@@ -16,16 +17,16 @@ MAX_HISTORY, NEIGHBORS, SESSION_GAP, SESSION_EVENTS = 50, 100, 30, 200
 def build_graph(events: DataFrame, categories: DataFrame, deepest: int, max_history: int = MAX_HISTORY) -> candidates.Graph:
     """All item graphs of events (with g). deepest: how many popular items the top list keeps.
 
-    Persisted: every source of candidates reads them."""
-    popular = history.popularity(events).persist()
+    Staged: every source of candidates reads them."""
+    popular = stage(history.popularity(events), "popularity")
     capped = history.capped(history.fold(events), max_history)
     return candidates.Graph(
-        neighbors=graph.neighbors(capped, NEIGHBORS).select("g", "item_id", "other", "similarity", "rank").persist(),
-        transitions=graph.transitions(events, SESSION_GAP, SESSION_EVENTS).persist(),
-        category_lists=graph.category_lists(popular, categories).persist(),
+        neighbors=stage(graph.neighbors(capped, NEIGHBORS).select("g", "item_id", "other", "similarity", "rank"), "neighbors"),
+        transitions=stage(graph.transitions(events, SESSION_GAP, SESSION_EVENTS), "transitions"),
+        category_lists=stage(graph.category_lists(popular, categories), "lists"),
         categories=categories,
         popularity=popular,
-        top=history.top_items(popular, deepest).persist(),
+        top=stage(history.top_items(popular, deepest), "top"),
     )
 
 
@@ -45,17 +46,17 @@ class Backtest:
 def backtest(events: DataFrame, categories: DataFrame, most: int = 100, warm_only: bool = True, max_history: int = MAX_HISTORY) -> Backtest:
     """History is train and validation, the target is test. Candidates are made for users of the truth only."""
     split = profile.assign_split(events)
-    past = history.with_graph(split.filter("split != 'test'")).drop("split").persist()
+    past = stage(history.with_graph(split.filter("split != 'test'")).drop("split"), "past")
     target = split.filter("split = 'test'").drop("split")
-    seen = history.fold(past).persist()
+    seen = stage(history.fold(past), "seen")
     relevant = history.relevant_rows(target, seen)
-    truth = history.truth(relevant, warm_only).persist()
+    truth = stage(history.truth(relevant, warm_only), "truth")
     built = build_graph(past, categories, most + history.longest_seen(seen), max_history)
     at = first_target_times(target, truth)
-    contexts = at.select(F.lit(0).alias("g"), F.col("user_id").alias("ctx"), F.col("target_timestamp").alias("at"))
+    contexts = stage(at, "contexts").select(F.lit(0).alias("g"), F.col("user_id").alias("ctx"), F.col("target_timestamp").alias("at"))
     own = seen.join(truth.select("user_id").distinct(), "user_id", "left_semi")
-    context_seen = own.select("g", F.col("user_id").alias("ctx"), "item_id").persist()
-    capped = history.capped(own, max_history).withColumnRenamed("user_id", "ctx").persist()
+    context_seen = stage(own.select("g", F.col("user_id").alias("ctx"), "item_id"), "seen")
+    capped = stage(history.capped(own, max_history).withColumnRenamed("user_id", "ctx"), "history")
     return Backtest(past, target, seen, relevant, truth, built, contexts, capped, context_seen)
 
 
@@ -123,13 +124,13 @@ def rolling(events: DataFrame, categories: DataFrame, ratios: tuple[tuple[float,
     low, high = time_range(events)
     windows = [(g, cutoff(low, high, a), cutoff(low, high, b)) for g, (a, b) in enumerate(ratios)]
     table = spark.createDataFrame(windows, "g int, start long, end long")
-    seq = sequenced(events).persist()
-    early = events.join(F.broadcast(table.select("g", "start")), F.col("timestamp") < F.col("start")).drop("start").persist()
-    numbered = number(targets(seq, table)).persist()
-    folded = point_in_time(seq, numbered).persist()
+    seq = stage(sequenced(events), "sequence")
+    early = stage(events.join(F.broadcast(table.select("g", "start")), F.col("timestamp") < F.col("start")).drop("start"), "early")
+    numbered = stage(number(targets(seq, table)), "targets")
+    folded = stage(point_in_time(seq, numbered), "folded")
     deepest = most + history.longest_seen(folded, "ctx")
     contexts = numbered.select("g", "ctx", F.col("timestamp").alias("at"))
-    return Rolling(numbered, contexts, history.capped(folded, max_history, "ctx").persist(), folded.select("g", "ctx", "item_id"), build_graph(early, categories, deepest, max_history))
+    return Rolling(numbered, contexts, stage(history.capped(folded, max_history, "ctx"), "history"), folded.select("g", "ctx", "item_id"), build_graph(early, categories, deepest, max_history))
 
 
 def number(found: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def number(found: DataFrame) -> DataFrame:
     row a user passes the global order; each user's own rows are numbered in parallel."""
     per_user = found.groupBy("g", "user_id").agg(F.count("*").alias("n"))
     spread = per_user.repartitionByRange("g", "user_id").withColumn("part", F.spark_partition_id())
-    spread = spread.persist()
+    spread = stage(spread, "users")
     parts = spread.groupBy("part").agg(F.sum("n").alias("n_part"))
     bases = parts.withColumn("base", F.coalesce(F.sum("n_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     inside = Window.partitionBy("part").orderBy("g", "user_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from ..contracts import FOLDS
 from ..functions.scoring import knuth_bucket
 from ..functions.vectors import absolute_difference, hadamard
 from ..operators import candidates, examples, features, graph, history, ingest, metrics, profile, quality, rankers, serving, traffic, windows
+from ..storage import stage
 from ..sources.adapters import click_interactions, latencies, order_interactions, part_categories, supplier_log
 
 KS = [5, 10, 20]
@@ -362,7 +363,7 @@ def hash_sample(spark, d):
 
 
 def _training(spark, d):
-    return rolling_examples(spark, d).filter("split = 'train'")
+    return stage(rolling_examples(spark, d), "examples").filter("split = 'train'")
 
 
 def bpr_pairs(spark, d):
@@ -395,7 +396,7 @@ def listwise_loss(spark, d):
 
 
 def positive_weight(spark, d):
-    return rankers.positive_weight(rolling_examples(spark, d))
+    return rankers.positive_weight(stage(rolling_examples(spark, d), "examples"))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -409,14 +410,14 @@ def _prior_order():
 
 
 def metrics_prior_ranker(spark, d):
-    return metrics.group_metrics(_judged(rolling_examples(spark, d)), _prior_order(), KS)
+    return metrics.group_metrics(stage(_judged(stage(rolling_examples(spark, d), "examples")), "judged"), _prior_order(), KS)
 
 
 def promotion_gate(spark, d):
     """A linear pairwise ranker against the prior on validation groups, and whether it would be served."""
-    rows = rolling_examples(spark, d).persist()
+    rows = stage(rolling_examples(spark, d), "examples")
     weights = rankers.fit_linear(examples.pair_rows(rows.filter("split = 'train'")))
-    judged = _judged(rows)
+    judged = stage(_judged(rows), "judged")
     old = metrics.group_metrics(judged, _prior_order(), [10]).first()["ndcg"]
     scored = judged.withColumn("score", F.round(rankers.corrected(weights), 8))
     new = metrics.group_metrics(scored, [F.desc("score"), F.col("candidate_item_id")], [10]).first()["ndcg"]
@@ -427,11 +428,11 @@ def promotion_gate(spark, d):
 
 
 def _snapshot(spark, d):
-    events = _clicks(spark, d).persist()
+    events = _clicks(spark, d)
     last = _as_of(events)
     g = history.with_graph(events)
-    edges = graph.neighbors(history.capped(history.fold(g))).persist(), graph.transitions(g).persist()
-    return features.user_features(events, last).persist(), features.item_features(events, last).persist(), edges
+    edges = stage(graph.neighbors(history.capped(history.fold(g))), "neighbors"), stage(graph.transitions(g), "transitions")
+    return stage(features.user_features(events, last), "users"), stage(features.item_features(events, last), "items"), edges
 
 
 def serve_history(spark, d):

@@ -362,6 +362,6 @@ FROM (SELECT count(*) AS n, avg(v) AS m, stddev_samp(v) AS s FROM (SELECT event_
     "latency_histogram": " UNION ALL ".join(f"SELECT event_type, '{b}' AS le, count(*) FILTER (value <= {b} * 1000::DOUBLE) AS n FROM events GROUP BY event_type" for b in (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)) + " UNION ALL SELECT event_type, '+Inf', count(*) FROM events GROUP BY event_type",
     "request_counts": "SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS in_window FROM events",
     "metric_flatten": """SELECT unnest(['events.rows', 'events.users', 'metrics.at_10.mean']) AS metric, unnest([CAST(n AS DOUBLE), CAST(u AS DOUBLE), m]) AS value FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS u, round(avg(value), 8) AS m FROM events)""",
-    "embedding_interaction": """SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), i -> CAST(a.embedding[i] AS DOUBLE) * c.embedding[i])), 6) AS product_sum, round(list_sum(list_transform(range(1, len(a.embedding) + 1), i -> abs(CAST(a.embedding[i] AS DOUBLE) - c.embedding[i]))), 6) AS difference_sum
-FROM embeddings a JOIN (SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, avg(CAST(e AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label) c USING (label)""",
+    "embedding_interaction": """WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS mean FROM e GROUP BY label, i)
+SELECT vec_id, round(sum(x * mean), 6) AS product_sum, round(sum(abs(x - mean)), 6) AS difference_sum FROM e JOIN m USING (label, i) GROUP BY vec_id""",
 }
