@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspar.llm import exact_dedup, importance, near_dup, packing, secret_scan
-from marlspar.llm.common import documents, stage
+from marlspar.llm.common import documents, sized, stage
 
 #: Some stages are not expressible in SQL (hashed models, samples of weighted sets, tokenizers).
 ORACLE_SQL = None
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each near-duplicate class the least id stays."""
-    gone = near_dup.near_duplicates(docs).filter("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = stage(near_dup.near_duplicates(docs).filter("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: the layout of the packed sequences."""
-    return packing.op4(spark, docs)
+    return packing.op4(spark, docs, kept=150_000)  # executors still hold the memory of the stages before
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dup", near), ("secrets", secrets), ("packing", pack)]

@@ -14,6 +14,10 @@ from ..storage import scratch, shared_dir, stage  # noqa: F401  (the operators t
 BATCH_ROWS = 1000
 
 
+#: Rows of ids and hashes (or spans) that a task may hold of a broadcast table; beyond, joins merge.
+BROADCAST_ROWS = 1_000_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -31,6 +35,27 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def sized(table: DataFrame, rows=None) -> DataFrame:
+    """A staged, narrow table for a join with one of texts: broadcast if it is counted to be small, else
+    merged. rows: an aggregate that counts what its rows hold, where they are arrays."""
+    n = table.agg(F.count("*") if rows is None else F.coalesce(rows, F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("merge")
+
+
+def lean(function):
+    """function for map_batches in a worker that has dropped the tokenizers' tables of earlier tasks and
+    hands its own memory back in the end."""
+
+    def run(batches):
+        from .encoding import release, trim
+
+        release()
+        yield from function(batches)
+        trim()
+
+    return run
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a binary Arrow column, without a copy of the bytes."""
     if not pa.types.is_large_binary(column.type):

@@ -7,6 +7,9 @@ ids, in tables of bounded size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import sys
@@ -42,6 +45,10 @@ _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{
 _WORD_PIECES = regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+#: Chunks that an encoder keeps: about 200 MB with the old generation.
+MOST = 700_000
+
+
 class _Known(dict):
     """Values made on first use. make() says whether to keep one. When it holds more than `most`, it
     becomes the old generation, whose values move over as they are used."""
@@ -66,7 +73,7 @@ class _Known(dict):
 class Encoder:
     """Texts to ids as little-endian bytes, 2 an id where the vocabulary allows it, else 4."""
 
-    def __init__(self, path: str, byte_level: bool, most: int = 700_000):
+    def __init__(self, path: str, byte_level: bool, most: int = MOST):
         """byte_level: spaces belong to the following chunk; else blanks are dropped. most: chunks kept, and a quarter as many other pre-tokens."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -131,8 +138,23 @@ def groups(texts: list[str], most: int = 1 << 20):
 _kept: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, byte_level: bool) -> Encoder:
+def encoder(path: str, byte_level: bool, most: int = MOST) -> Encoder:
     """The worker's encoder of this file."""
-    if (path, byte_level) not in _kept:
-        _kept[path, byte_level] = Encoder(path, byte_level)
-    return _kept[path, byte_level]
+    key = path, byte_level, most
+    if key not in _kept:
+        release()
+        _kept[key] = Encoder(*key)
+    return _kept[key]
+
+
+def release() -> None:
+    """Give the memory of all encoders back: other work in the same worker needs none of it."""
+    _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, stage
+from .common import narrow, sized, stage
 
 
 def digest(text) -> F.Column:
@@ -83,13 +83,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; what goes is found by id and digest, and joined
-    away in whatever way its size allows."""
+    """The rows of docs that stay, with all their columns; what goes is known by id and digest; only if
+    that is a long list do texts pass a shuffle."""
     found = deduplicate(docs, index, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept", "copy")
     found = stage(found.filter("NOT kept"), "gone")
     keyed = docs.withColumn("__own", digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    out = keyed.join(found.filter("copy = 1").select("__id", "__digest"), same, "left_anti")
+    out = keyed.join(sized(found.filter("copy = 1").select("__id", "__digest")), same, "left_anti")
     if not found.filter("copy > 1").isEmpty():
         out = out.dropDuplicates([id_col, "__own"])
     return out.drop("__own")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, map_batches, narrow, stage
+from .common import blocks, flat, lean, map_batches, narrow, stage
 from .hashing import WORDS_AND_MARKS, mix, tokens
 
 BITS = 16
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> t
     share = marked.agg(F.avg(F.col("good").cast("double"))).first()[0] or 0.0
     good = marked.filter("good AND good_id IS NOT NULL").select("good_id").distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(target_rows)
     texts = narrow(docs, binary=True).join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
-    counted = map_batches(texts, _count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = map_batches(texts, lean(_count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for row in counted.collect():
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]

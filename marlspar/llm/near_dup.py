@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, map_batches, narrow, stage
+from .common import blocks, flat, lean, map_batches, narrow, stage
 from .components import components
 from .hashing import mix, tokens
 
@@ -162,7 +162,7 @@ def _document_frequencies(batches):
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents that hold a shingle of each hash bucket, all documents); 2^18 + 1 counts reach the driver."""
-    counted = map_batches(docs.select("text"), _document_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    counted = map_batches(docs.select("text"), lean(_document_frequencies), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     bucket, df = counted["bucket"].to_numpy(), counted["df"].to_numpy()
     table = np.zeros(1 << DF_BITS, np.int64)
     table[bucket[bucket >= 0]] = df[bucket >= 0]
@@ -277,7 +277,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
     """pairs (a, b) with their similarity sim and the total weights of a and b, staged."""
-    return stage(map_batches(_with_texts(pairs, texts), _compare(table), "a binary, b binary, sim double, total_a double, total double"), "similar")
+    return stage(map_batches(_with_texts(pairs, texts), lean(_compare(table)), "a binary, b binary, sim double, total_a double, total double"), "similar")
 
 
 def _within_stars(star: DataFrame, label: DataFrame, texts: DataFrame, table, frequencies, similarity: float) -> DataFrame:
@@ -287,7 +287,7 @@ def _within_stars(star: DataFrame, label: DataFrame, texts: DataFrame, table, fr
     stars = star.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("worst"), (F.avg(apart) < F.avg("total")).alias("centred"))
     several = stars.filter((F.col("n") > 1) & (F.col("worst") < similarity)).select("a", "n", "centred")
     wide = _with_texts(star.select("a", "b", "sim", "total").join(several, "a"), texts)
-    parts = map_batches(wide, _deviate(table, frequencies, similarity), "a binary, b binary, sim double, total double, parts array<long>, behind array<double>, size double, least double")
+    parts = map_batches(wide, lean(_deviate(table, frequencies, similarity)), "a binary, b binary, sim double, total double, parts array<long>, behind array<double>, size double, least double")
     named = stage(parts.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b")), "parts")
     own = ["a", "b", "sim", "total", "label", "size", "least"]
     part = named.select(*own, F.explode(F.arrays_zip("parts", "behind")).alias("p")).select(*own, F.col("p.parts").alias("part"), F.col("p.behind").alias("behind"))
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     spark, own = docs.sparkSession, narrow(docs, id_col, text_col, binary=True)
     df, n = document_frequencies(own)
     table, frequencies = spark.sparkContext.broadcast(factors(df, n)), spark.sparkContext.broadcast(df)
-    rows = stage(map_batches(own, _sketch(table), "doc_id long, node binary, bands array<long>, rarity double"), "sketches")
+    rows = stage(map_batches(own, lean(_sketch(table)), "doc_id long, node binary, bands array<long>, rarity double"), "sketches")
     known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min("rarity").alias("rarity"))
     member = stage(known.select("node", "least_id", F.struct("rarity", "node").alias("best"), F.explode("bands").alias("bucket")), "members")
     shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("best").alias("best")).filter("n > 1").select("bucket", "best")
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     centre = often(member.join(hub, "node"), "bucket", "hub").select("bucket", F.col("most.node").alias("centre"))
     wanted = member.select("node", "least_id").distinct()
     found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["least_id"])).select("node", "text")
-    texts = stage(map_batches(found, _check_node, "node binary, text binary").dropDuplicates(["node"]), "texts")
+    texts = stage(map_batches(found, lean(_check_node), "node binary, text binary").dropDuplicates(["node"]), "texts")
 
     spokes = member.join(centre, "bucket").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     star = _verify(spokes, texts, table)

@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, narrow, stage
-from .encoding import encoder, groups
+from .encoding import MOST, encoder, groups
 
 #: Ranks of one length are counted in so many salted parts.
 SALTS = 256
 
 
-def _cut(tokenizer: str, end_id: int, most: int):
+def _cut(tokenizer: str, end_id: int, most: int, kept: int):
     def run(batches):
-        enc = encoder(tokenizer, byte_level=False)
+        enc = encoder(tokenizer, False, kept)
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
@@ -51,9 +51,9 @@ def _cut(tokenizer: str, end_id: int, most: int):
     return run
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", kept: int = MOST) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids (binary, little-endian, 2 bytes an id if the vocabulary allows)."""
-    return map_batches(narrow(docs, id_col, text_col), _cut(tokenizer, end_id, most), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return map_batches(narrow(docs, id_col, text_col), _cut(tokenizer, end_id, most, kept), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def patterns(histogram: dict[int, int], most: int = 4096) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -142,7 +142,8 @@ def assemble(pieces: DataFrame, layout: DataFrame) -> DataFrame:
     return both.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("parts", lambda x: F.struct(x["doc_id"], x["length"])).alias("segments"))
 
 
-def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def op4(spark: SparkSession, docs: DataFrame, kept: int = MOST) -> DataFrame:
+    """kept: chunks that a worker keeps with their ids; fewer take less memory and more time."""
     import public_tokenizers
 
-    return pack(stage(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+    return pack(stage(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=kept), "pieces"))

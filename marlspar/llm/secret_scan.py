@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import narrow, stage
+from .common import narrow, sized, stage
 from .trigrams import trigram_query
 
 
@@ -85,7 +85,7 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 def scan(docs: DataFrame, index: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, check, kind, start, end: every span of every rule, in the texts of docs that `index` was built on."""
     own = _keyed(docs, id_col, text_col).select("key", "check", "text")
-    rows = own.join(candidates(index, rules), ["key", "check"])
+    rows = own.join(sized(stage(candidates(index, rules), "candidates")), ["key", "check"])
     for rule in rules:
         if not trigram_query(rule.pattern):
             rows = rows.unionByName(own.filter(F.col("text").rlike(rule.pattern)).withColumn("kind", F.lit(rule.kind)))
@@ -128,7 +128,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", id_col: str = "
         CASE WHEN s.start >= a.pos THEN struct(s.end AS pos, concat(a.out, substring(`{text_col}`, CAST(a.pos AS INT) + 1, CAST(s.start - a.pos AS INT)), '{mark}') AS out)
              ELSE struct(greatest(a.pos, s.end) AS pos, a.out AS out) END,
         a -> concat(a.out, substring(`{text_col}`, CAST(a.pos AS INT) + 1)))"""
-    both = keyed.join(found, ["__key", "__check"], "left")
+    both = keyed.join(sized(found, F.sum(F.size("__spans"))), ["__key", "__check"], "left")
     cleaned = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.expr(step))
     return both.withColumn(text_col, cleaned).select(*docs.columns)
 
