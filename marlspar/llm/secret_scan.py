@@ -46,9 +46,22 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# A PEM key runs through its body to the END line. Where END is missing it runs to the last long base64 run
+# and a short last line. Bodies of any length are single character classes, as Java recurses on repeated
+# groups of varying length; lines that start with a dash (of a diff) are free in number in the usual widths
+# of 64, 70 and 76, and otherwise counted, as header fields are.
+_BASE64 = "A-Za-z0-9+/="
+_BODY = rf"""[{_BASE64}\t\n\r\x20\\"'>#*|,:]"""
+_BREAK = r"""[\t\n\r\x20nr\\"'>#*|,+]"""
+_DASHED = "".join(rf"(?:-[{_BASE64}]{{{n}}}{end})*" for n in (64, 70, 76) for end in (r"\n", r"\r\n"))
+_INNER = rf"{_BODY}*{_DASHED}(?:-{_BODY}+){{0,200}}"
+_END = r"-{5,6}END [A-Z ]{0,40}PRIVATE KEY-----"
+_FIELDS = rf"(?:{_BREAK}*[A-Z][A-Za-z]*-[A-Za-z]+:\x20?[A-Za-z0-9,-]+){{0,8}}"
+_LAST = rf"""(?:(?:\r?\n|(?:\\r)?\\n)[\t\x20>#*|"']*-?(?:[{_BASE64}]*[0-9+/=][{_BASE64}]*|[A-Za-z]+(?:[\n\r"'\\]|$)))?"""
+_OPEN = rf"{_FIELDS}{_BREAK}*-?[{_BASE64}]{{16,}}(?:{_INNER}[{_BASE64}]{{20,}})?{_LAST}"
 # Further kinds of secrets with published formats.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_INNER}{_END}|{_OPEN})?"),
     Rule("github", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35,}"),

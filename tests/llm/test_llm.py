@@ -304,6 +304,28 @@ def test_secrets(docs, empty, spark):
     assert clean[8][0].text == '[SECRET]" é [SECRET]' and clean[0][0].text == TEXTS[0] and clean[1][0].text is None and len(clean[3]) == 2
 
 
+def test_whole_keys_are_redacted(spark):
+    rng = random.Random(6)
+    body = ["".join(rng.choice("ABCDEFGHIJKLMabcdefghijklm0123456789+/") for _ in range(64)) for _ in range(40)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    long = "\n".join(body * 500)
+    key = "\n".join([begin, *body, "kQ==", end])
+    texts = [
+        (f"a b\n{key}\nafter it", "a b\n[SECRET]\nafter it"), (key.replace("\n", "\r\n"), "[SECRET]"), ('x = "' + key.replace("\n", "\\n") + '" y', 'x = "[SECRET]" y'),
+        (f"{key}\nbetween the two\n{key}", "[SECRET]\nbetween the two\n[SECRET]"), ("-" + key.replace("\n", "\n-"), "-[SECRET]"), (key.replace("\n", "\n    "), "[SECRET]"),
+        (key.replace(f"{begin}\n", f"{begin}\n{fields}") + ".", "[SECRET]."), (f"{begin}\n{long}\n{end} c", "[SECRET] c"), (f"{begin}\n{long}\nand more words", "[SECRET]\nand more words"),
+        (key.replace(end, "then other words"), "[SECRET]\nthen other words"), (f"{begin}\n{fields}{body[0]}\nkQabcd", "[SECRET]"), (key.replace("\n", "\n  ").replace(end, "") + "the end", "[SECRET]\n  the end"),
+        (f"a line of {begin} stands first, then the body", "a line of [SECRET] stands first, then the body"),
+        (key.replace(end, "-----BEGIN CERTIFICATE-----\nMIIB"), "[SECRET]\n-----BEGIN CERTIFICATE-----\nMIIB"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in secret_scan.redact(rows).collect()} == {i: clean for i, (_, clean) in enumerate(texts)}
+    assert {r.doc_id: [x for x in r.spans.split(",") if x.startswith("pem")] for r in secret_scan.op7(rows).collect()} == {
+        i: [f"{k}:{a}:{b}" for a, _, k, b in brute_secrets(t) if k == "pem"] for i, (t, _) in enumerate(texts)
+    }
+
+
 def test_base_rules_equal_the_stated_ones():
     rng = random.Random(4)
     stated = [(re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]
