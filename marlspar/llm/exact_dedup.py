@@ -37,13 +37,17 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
+    def create(self) -> None:
+        """An empty index, unless there is one."""
+        if not self.exists():
+            none = self.spark.createDataFrame([], "digest binary, keep_id long")
+            none.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
     def unseen(self, digests: DataFrame) -> DataFrame:
         """Rows of `digests` (with a column digest) that the index lacks."""
-        if not self.exists():
-            return digests
         return digests.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, rows: DataFrame) -> None:
@@ -67,16 +71,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     hashed = narrow(docs, id_col, text_col).select("doc_id", digest(F.col("text")).alias("digest"))
     rows = stage(hashed.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    if index.exists():
-        known = index.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("seen")).hint("merge")
-        merged = groups.join(known, "digest", "left").select("digest", F.when(F.col("seen"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.coalesce("seen", F.lit(False)).alias("seen"))
-        groups = stage(merged, "groups")  # before the append changes what the index holds
-        fresh = index.unseen(groups)
-    else:
-        groups = stage(groups.withColumn("seen", F.lit(False)), "groups")
-        fresh = groups
+    groups = stage(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    index.create()
+    fresh = stage(index.unseen(groups).select("digest", "keep_id"), "fresh")  # before the append changes what the index holds
     index.append(fresh)
+    new = fresh.select("digest", F.lit(True).alias("new")).hint("merge")
+    known = groups.select("digest", "group_size").join(new, "digest", "left").join(index.read().hint("merge"), "digest")
+    groups = stage(known.select("digest", "keep_id", "group_size", F.col("new").isNull().alias("seen")), "known")
     out = rows.join(groups.hint("merge"), "digest")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "digest", "keep_id", "group_size", "copy", (~F.col("seen") & (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "seen")

@@ -254,6 +254,13 @@ def test_index_grows(spark, docs):
     index.drop()
 
 
+def test_every_run_meets_the_index(spark, docs, monkeypatch):
+    asked, unseen = [], exact_dedup.DigestIndex.unseen
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda index, digests: asked.append(unseen(index, digests)) or asked[-1])
+    assert exact_dedup.op5(spark, docs).count() == len(TEXTS) + 2 and exact_dedup.keep_first(docs, exact_dedup.temporary_index(spark)).count()
+    assert len(asked) == 2 and all("LeftAnti" in x._jdf.queryExecution().toString() for x in asked)
+
+
 # 6
 
 
