@@ -1,8 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes what the one before kept and returns rows with the columns of documents, the last one
-the layout of packed sequences. Rows without an id can't be told apart by it: near-duplicate removal
-leaves them alone.
+the layout of packed sequences. Ids may repeat or be null: rows are known by id and text, and exact
+deduplication has left no two rows of one text.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each near-duplicate class the least id stays."""
-    gone = stage(near_dup.near_duplicates(docs).filter("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """Operator 3: of each near-duplicate class one row stays, of the least id; rows are known by id and text."""
+    found = stage(near_dup.near_duplicates(docs, keyed=True).select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone"), "kept"), "rows")
+    keyed = docs.withColumn("__key", near_dup.text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone"))
+    gone = stage(found.filter("NOT kept").select("__id", "__gone").distinct(), "gone")
+    return keyed.join(sized(gone), same, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,7 +188,8 @@ def _sketch(table):
                     distinct = weighted(part, table.value)
                     bands.append(signature(*distinct) if len(part) else None)
                     rarity.append(round(float(distinct[1].sum() / len(part)), 9) if len(part) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(rarity, pa.float64())], ["doc_id", "node", "bands", "rarity"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(rarity, pa.float64())], [*names, "node", "bands", "rarity"])
 
     return run
 
@@ -303,12 +304,21 @@ def _within_stars(star: DataFrame, label: DataFrame, texts: DataFrame, table, fr
     return both.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (see the module)."""
+def text_key(text) -> F.Column:
+    """128 bits of a text: what tells rows of one id apart."""
+    return F.unhex(F.md5(text))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (see the module). keyed: also key (text_key of the
+    text) and kept: true for the row of the least id, then key, of a class (null ids come last) and for rows
+    without words; rows that repeat both id and text agree in it."""
     spark, own = docs.sparkSession, narrow(docs, id_col, text_col, binary=True)
+    own = own.withColumn("key", text_key("text")) if keyed else own
+    row = ["doc_id", "key"] if keyed else ["doc_id"]
     df, n = document_frequencies(own)
     table, frequencies = spark.sparkContext.broadcast(factors(df, n)), spark.sparkContext.broadcast(df)
-    rows = stage(map_batches(own, lean(_sketch(table)), "doc_id long, node binary, bands array<long>, rarity double"), "sketches")
+    rows = stage(map_batches(own, lean(_sketch(table)), f"doc_id long, {'key binary, ' if keyed else ''}node binary, bands array<long>, rarity double"), "sketches")
     known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min("rarity").alias("rarity"))
     member = stage(known.select("node", "least_id", F.struct("rarity", "node").alias("best"), F.explode("bands").alias("bucket")), "members")
     shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("best").alias("best")).filter("n > 1").select("bucket", "best")
@@ -327,9 +337,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     more = rest.filter(F.col("sim") >= similarity).select("a", "b")
     label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
-    labelled = stage(rows.select("doc_id", "node").join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")), "labelled")
-    least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return labelled.join(least, "label", "left").select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    labelled = stage(rows.select(*row, "node").join(label, "node", "left").select(*row, F.coalesce("label", "node").alias("label")), "labelled")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *row)
+    least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), *([F.min(order).alias("first")] if keyed else []))
+    kept = [(F.col("label").isNull() | order.eqNullSafe(F.col("first"))).alias("kept")] if keyed else []
+    return labelled.join(least, "label", "left").select(*row, F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *kept)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -507,6 +507,17 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == set(seen["secrets"])
 
 
+def test_near_stage_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(80)) for x in "pqr")
+    rows = [(1, one), (2, one + " end"), (2, "a clean text of its own words here"), (5, two), (5, two + " end"), (None, three), (None, three + " end"), (None, "words that stand alone in this row"), (7, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert len(left) == 7 and {rows[0], rows[2], rows[7], rows[8], rows[9]} <= set(left)
+    assert len({rows[3], rows[4]} & set(left)) == len({rows[5], rows[6]} & set(left)) == 1
+
+
 def test_registry():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
 
