@@ -2,11 +2,12 @@
 
 Words are the runs of digits, ASCII letters and characters above ASCII, with A-Z lower-cased. One
 automaton finds all notice phrases in the words joined by single spaces, another the tags in the raw
-text; what follows a tag on its line is parsed as a licence expression with ( ) AND OR WITH and +.
+text; the longest well-formed start of what follows a tag on its line is taken as a licence expression with
+( ) AND OR WITH and +. Punctuation behind an identifier is not part of it and ends the expression.
 
 Defined cases: a null text is empty; an empty text has no words, notices or tags and the score 0;
 texts are read whole; repeated rows give repeated results; null ids stay null; columns other than id
-and text are not read; an expression that does not parse gives valid = false, no labels, score 0.
+and text are not read; a line of which no start is an expression gives valid = false, no labels, score 0.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ SCHEMA = "doc_id long, n_words long, notices array<struct<phrase: string, label:
 _RANK = {"or": 1, "and": 2, "with": 3}
 _PIECES = re.compile(r"[()]|[^\s()]+")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*$")
+_OPENING, _CLOSING = "\"'`", ".,;:!?\"'`*/#>]}-"
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -124,6 +126,45 @@ def evaluate(expression: str) -> tuple[float, list[str]]:
     return score, sorted(labels)
 
 
+def leading(text: str) -> tuple[str, float, list[str]]:
+    """(longest start of text that is an expression, freedom, sorted labels). ValueError if there is none."""
+    text = text.lstrip(_OPENING)
+    pieces: list[str] = []
+    ends: list[tuple[int, int]] = []  # of well-formed starts: pieces, characters
+    depth, operand_next, closed = 0, True, False
+    for found in _PIECES.finditer(text):
+        piece = found.group()
+        bare = piece if piece in "()" else piece.rstrip(_CLOSING)
+        if closed and piece != ")":
+            break
+        if piece == "(" or bare == piece and bare.lower() in _RANK:
+            if operand_next != (piece == "("):
+                break
+            operand_next, depth = True, depth + (piece == "(")
+        elif piece == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        else:
+            if not operand_next or not _IDENTIFIER.match(bare) or bare.lower() in _RANK:
+                break
+            operand_next, closed = False, bare != piece
+        pieces.append(bare)
+        if not operand_next and not depth:
+            ends.append((len(pieces), found.start() + len(bare)))
+    low, best, middle = 0, None, len(ends) - 1
+    while low < len(ends):  # a misplaced WITH spoils every longer start too
+        try:
+            best = (text[: ends[middle][1]], *evaluate(" ".join(pieces[: ends[middle][0]])))
+            low = middle + 1
+        except ValueError:
+            del ends[middle:]
+        middle = (low + len(ends)) // 2
+    if best is None:
+        raise ValueError("no expression stands here")
+    return best
+
+
 @cache
 def _automata():
     import ahocorasick
@@ -158,7 +199,7 @@ def scan(raw: bytes) -> dict:
         stop = lowered.find("\n", end)
         expression = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace").strip(" \t\r*/#->")
         try:
-            score, labels = evaluate(expression)
+            expression, score, labels = leading(expression)
             parsed.append({"expression": expression, "valid": True, "labels": labels, "score": score, "start": end - len(tag) + 1})
         except ValueError:
             parsed.append({"expression": expression, "valid": False, "labels": [], "score": 0.0, "start": end - len(tag) + 1})

@@ -80,6 +80,16 @@ def test_malformed_expressions(expression):
         license_scan.evaluate(expression)
 
 
+@pytest.mark.parametrize(
+    "line, expression, labels",
+    [("MIT see the notice", "MIT", ["mit"]), ("MIT.", "MIT", ["mit"]), ("MIT. And more", "MIT", ["mit"]), ('"Apache-2.0", then', "Apache-2.0", ["apache-2"]), ("MIT OR", "MIT", ["mit"]), ("GPL-2.0+ OR MIT) x", "GPL-2.0+ OR MIT", ["gpl-2", "mit"]),
+     ("(MIT OR ISC.) WITH (x", "(MIT OR ISC.)", ["isc", "mit"]), ("MIT WITH a WITH b AND ISC", "MIT WITH a", ["mit"]), ("(MIT OR ISC) WITH x", "(MIT OR ISC)", ["isc", "mit"]), ("MIT AND (ISC", "MIT", ["mit"]), ("AND MIT", None, []), ("(MIT", None, []), ("", None, [])],
+)
+def test_expressions_in_running_text(line, expression, labels):
+    tag = license_scan.scan(f"as SPDX-License-Identifier: {line}".encode())["tags"][0]
+    assert (tag["valid"], tag["labels"]) == (expression is not None, labels) and (expression is None or tag["expression"] == expression)
+
+
 # 2
 
 
