@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or (unset, as in local tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: spark.checkpoint.dir, or (unset, as in local tests) a temporary one for this context."""
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="marlspar-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = getattr(context, "_marlspar_shared", None) or "file://" + tempfile.mkdtemp(prefix="marlspar-")
+        context._marlspar_shared = found
     return found.rstrip("/")
 
 
