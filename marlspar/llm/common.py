@@ -14,8 +14,8 @@ from ..storage import scratch, shared_dir, stage  # noqa: F401  (the operators t
 BATCH_ROWS = 1000
 
 
-#: Rows of ids and hashes (or spans) that a task may hold of a broadcast table; beyond, joins merge.
-BROADCAST_ROWS = 1_000_000
+#: Slots of the filter that listed() broadcasts: at most so many whole numbers, whatever the data.
+SLOTS = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,18 +28,29 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bina
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if binary else text).alias("text"))
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with bounded batches."""
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over bounded slices of the batches, however many rows the session puts into one."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
 
+    def bounded(batches):
+        return function(batch.slice(first, BATCH_ROWS) for batch in batches for first in range(0, batch.num_rows, BATCH_ROWS))
 
-def sized(table: DataFrame, rows=None) -> DataFrame:
-    """A staged, narrow table for a join with one of texts: broadcast if it is counted to be small, else
-    merged. rows: an aggregate that counts what its rows hold, where they are arrays."""
-    n = table.agg(F.count("*") if rows is None else F.coalesce(rows, F.lit(0))).first()[0]
-    return F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("merge")
+    return df.mapInArrow(bounded, schema)
+
+
+def wrapped(docs: DataFrame, *columns) -> DataFrame:
+    """docs with each row in one struct column `row`, so that none of its names can clash; row.* gives it back."""
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
+def listed(keyed: DataFrame, table: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of `keyed` whose key surely isn't in `table`, rows whose key may be). Keys are hashed to SLOTS
+    slots, and the slots that the table takes are broadcast: a bounded filter at every size of the table. Only
+    rows of the second kind need meet the table itself, in a merge join, and so only they pass a shuffle."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    taken = F.broadcast(stage(table.select(slot.alias("slot")).distinct(), "slots"))
+    own = keyed.withColumn("slot", slot)
+    return tuple(own.join(taken, "slot", how).drop("slot") for how in ("left_anti", "left_semi"))
 
 
 def lean(function):
