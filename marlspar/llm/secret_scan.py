@@ -1,15 +1,20 @@
-"""Secret scans over a trigram inverted index. All DataFrame code.
+"""Secret scans over a trigram inverted index of the texts. All DataFrame code.
 
-Each rule's expression yields a Boolean trigram query (trigrams.py). The index holds a posting (trigram,
-row) for the trigrams that some rule asks for: what no rule asks for would never be read. Postings of a
-clause are intersected by a bit mask a row; rows that fulfil a clause are the rule's candidates, whose
-texts are then searched with the expression itself. Rules without mandatory trigrams read every text.
-Matches are leftmost and do not overlap within a rule; positions count code points.
+The index holds a posting (hash of a trigram, key of a row) for every trigram of every lower-cased text. It
+is made once, without knowledge of any rule, in segments: each task writes the postings of its own texts,
+sorted by trigram, so that nothing is shuffled and a lookup skips what it doesn't ask for. It lies in a
+folder and answers rules that are added later. Each rule's expression yields a Boolean trigram query
+(trigrams.py). The postings of a clause are intersected by a bit mask a row; rows that fulfil a clause are
+the rule's candidates, whose texts alone are searched with the expression itself. Rules without mandatory
+trigrams read every text. Matches are leftmost and do not overlap within a rule; positions count code points.
 
-Rows are known by two hashes of id and text, so that repeated or null ids do no harm.
+Rows are known by two hashes of id and text, so that repeated or null ids do no harm; hashes of trigrams
+may collide, which adds candidates and loses none.
 
 Defined cases: a null text is empty, and an empty text has no spans; null ids stay null; repeated rows
-give repeated results; an empty table gives no rows; columns other than id and text are not read.
+give repeated results; an empty table gives no rows; long texts are indexed in overlapping parts and
+searched whole; columns other than id and text are not read, and redact hands all of them on whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import narrow, sized, stage
+from .common import listed, narrow, scratch, stage, wrapped
 from .trigrams import trigram_query
 
 
@@ -71,34 +76,60 @@ MORE = (
 RULES = BASE + MORE
 
 
+#: Code points of a part of a text whose trigrams are taken together; parts overlap by two.
+PART = 1 << 16
+#: Code points of the pieces that a text is cut into before stretches of it are put together.
+PIECE = 1 << 10
+
+
+def _keys(number, text) -> tuple:
+    return F.xxhash64(number, text).alias("key"), F.hash(text, number).alias("check")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = narrow(docs, id_col, text_col)
-    return own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("check"), "text")
+    return narrow(docs, id_col, text_col).select("doc_id", *_keys(F.col("doc_id"), F.col("text")), "text")
+
+
+@dataclass(frozen=True)
+class TrigramIndex:
+    """rows (doc_id, key, check: a row for each row of the table) and postings (trigram, key)."""
 
+    rows: DataFrame
+    postings: DataFrame
 
-def build_index(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, check, trigrams (of those that the rules ask for), staged; a row for each row of docs."""
-    wanted = sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
-    low = _keyed(docs, id_col, text_col).withColumn("low", F.lower("text"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted))) if wanted else F.array().cast("array<string>")
-    return stage(low.select("doc_id", "key", "check", held.alias("trigrams")), "trigrams")
 
+def read_index(spark: SparkSession, path: str) -> TrigramIndex:
+    return TrigramIndex(spark.read.schema("doc_id long, key long, check int").parquet(f"{path}/rows"), spark.read.schema("trigram int, key long").parquet(f"{path}/postings"))
 
-def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(key, check, kind): rows that fulfil a clause of a rule that has clauses."""
-    spark = index.sparkSession
+
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TrigramIndex:
+    """The index of docs, written to `path` (else to the shared folder)."""
+    path = path or scratch(docs.sparkSession, "trigrams")
+    own = _keyed(docs, id_col, text_col)
+    own.select("doc_id", "key", "check").write.parquet(f"{path}/rows")
+    parts = own.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=(.{{1,{PART + 2}}})).{{1,{PART}}}"), F.lit(1))).alias("part"))
+    held = parts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("part", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("trigram"))
+    held.select(F.hash("trigram").alias("trigram"), "key").sortWithinPartitions("trigram").write.parquet(f"{path}/postings")
+    return read_index(docs.sparkSession, path)
+
+
+def candidates(index: TrigramIndex, rules=RULES) -> DataFrame:
+    """(key, kind): rows that fulfil a clause of a rule that has clauses."""
+    spark = index.rows.sparkSession
     asked = [(r.kind, n, t, i, len(clause)) for r in rules for n, clause in enumerate(trigram_query(r.pattern)) for i, t in enumerate(sorted(clause))]
-    clauses = spark.createDataFrame(asked, "kind string, clause int, trigram string, bit int, bits int")  # as large as the rules
-    postings = index.select(F.explode("trigrams").alias("trigram"), "key", "check")
-    held = postings.join(F.broadcast(clauses), "trigram").groupBy("key", "check", "kind", "clause", "bits")
+    clauses = spark.createDataFrame(asked, "kind string, clause int, text string, bit int, bits int")  # as large as the rules
+    clauses = clauses.select("kind", "clause", F.hash("text").alias("trigram"), "bit", "bits")
+    wanted = sorted({x["trigram"] for x in clauses.collect()})
+    held = index.postings.filter(F.col("trigram").isin(wanted)).join(F.broadcast(clauses), "trigram").groupBy("key", "kind", "clause", "bits")
     met = held.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).filter(F.bit_count("mask") == F.col("bits"))
-    return met.select("key", "check", "kind").distinct()
+    return met.select("key", "kind").distinct()
 
 
-def scan(docs: DataFrame, index: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, index: TrigramIndex, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, check, kind, start, end: every span of every rule, in the texts of docs that `index` was built on."""
     own = _keyed(docs, id_col, text_col).select("key", "check", "text")
-    rows = own.join(sized(stage(candidates(index, rules), "candidates")), ["key", "check"])
+    found = stage(candidates(index, rules), "candidates")
+    rows = listed(own, found, "key")[1].join(found.hint("merge"), "key")
     for rule in rules:
         if not trigram_query(rule.pattern):
             rows = rows.unionByName(own.filter(F.col("text").rlike(rule.pattern)).withColumn("kind", F.lit(rule.kind)))
@@ -119,31 +150,53 @@ def scan(docs: DataFrame, index: DataFrame, rules=RULES, id_col: str = "doc_id",
     return placed.filter(F.col("part") >= least).select("key", "check", "kind", (F.col("end") - F.col("found")).alias("start"), "end")
 
 
-def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", index: TrigramIndex | None = None) -> DataFrame:
     """doc_id, key, check, spans array<struct<start, order, kind, end>>: a row for each row of docs; spans by
-    start, then by the rules' order."""
-    index = build_index(docs, rules, id_col, text_col)
+    start, then by the rules' order. index: of these docs, if there is one."""
+    index = index or build_index(docs, None, id_col, text_col)
     order = F.element_at(F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i))), F.col("kind"))
     spans = scan(docs, index, rules, id_col, text_col).withColumn("order", order)
     by_row = spans.groupBy("key", "check").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end"))).alias("spans"))
-    rows = index.select("doc_id", "key", "check").join(by_row, ["key", "check"], "left")
+    rows = index.rows.join(by_row, ["key", "check"], "left")
     empty = F.array().cast("array<struct<start: bigint, order: int, kind: string, end: bigint>>")
     return rows.select("doc_id", "key", "check", F.coalesce("spans", empty).alias("spans"))
 
 
+def stretches(spans: DataFrame) -> DataFrame:
+    """(key, check, gaps, tail): the stretches of a row's text before each span (overlapping ones are one
+    span), as an array of (low, high) in order, and where the text behind the last one starts."""
+    row = Window.partitionBy("key", "check")
+    earlier = F.max("end").over(row.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("opens", F.coalesce(F.col("start") >= earlier, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("nth", F.sum("opens").over(row.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("key", "check", "nth").agg(F.min("start").alias("high"), F.max("end").alias("end"))
+    gaps = whole.withColumn("low", F.lag("end", 1, 0).over(row.orderBy("nth")))
+    return gaps.groupBy("key", "check").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("gaps"), F.max("end").alias("tail"))
+
+
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span (overlapping ones together) replaced by `mark`; its columns and rows as they are."""
-    found = stage(find_secrets(docs, rules, id_col, text_col).filter(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("check").alias("__check"), F.col("spans").alias("__spans")).distinct(), "spans")
+    """docs with each span (overlapping ones together) replaced by `mark`; its columns and rows as they are.
+
+    A text is cut into small pieces once, and each stretch is put together from those it touches, so the time
+    is linear in the text however many spans it has."""
+    found = stage(stretches(scan(docs, build_index(docs, None, id_col, text_col), rules, id_col, text_col)), "stretches")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__key": F.xxhash64(F.col(id_col).cast("long"), text), "__check": F.hash(text, F.col(id_col).cast("long"))})
-    step = f"""
-      aggregate(__spans, struct(0L AS pos, '' AS out), (a, s) ->
-        CASE WHEN s.start >= a.pos THEN struct(s.end AS pos, concat(a.out, substring(`{text_col}`, CAST(a.pos AS INT) + 1, CAST(s.start - a.pos AS INT)), '{mark}') AS out)
-             ELSE struct(greatest(a.pos, s.end) AS pos, a.out AS out) END,
-        a -> concat(a.out, substring(`{text_col}`, CAST(a.pos AS INT) + 1)))"""
-    both = keyed.join(sized(found, F.sum(F.size("__spans"))), ["__key", "__check"], "left")
-    cleaned = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.expr(step))
-    return both.withColumn(text_col, cleaned).select(*docs.columns)
+    clear, doubtful = listed(wrapped(docs, *_keys(F.col(id_col).cast("long"), text)), found, "key", "check")
+    both = doubtful.join(found.hint("merge"), ["key", "check"], "left")
+    whole = F.col("row").getField(text_col)
+    parts = F.struct(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), "gaps", "tail", F.length(whole).cast("long").alias("size"))
+
+    def stretch(s, low, high):
+        first, last = F.floor(low / PIECE).cast("int"), F.ceil(high / PIECE).cast("int")
+        joined = F.array_join(F.slice(s["pieces"], first + 1, last - first), "")
+        return F.when(low < high, F.substring(joined, (low - first * PIECE).cast("int") + 1, (high - low).cast("int"))).otherwise("")
+
+    def cleaned(s):  # an array of one struct, so that the pieces are made once a row and not once a stretch
+        return F.array_join(F.concat(F.transform(s["gaps"], lambda g: stretch(s, g["low"], g["high"])), F.array(stretch(s, s["tail"], s["size"]))), mark)
+
+    new = F.when(F.col("gaps").isNull(), whole).otherwise(F.transform(F.array(parts), cleaned)[0])
+    names = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return clear.select("row.*").union(both.select(*names))
 
 
 def op7(docs: DataFrame) -> DataFrame:
