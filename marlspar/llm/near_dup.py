@@ -26,6 +26,8 @@ copies of a very large group, whose shared shingles are the most frequent of all
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8^3)^14 = 4e-5.
 
+Rows are known by id and a hash of the text, so ids that repeat or are null cost no more than others.
+
 Defined cases: a null text is empty; a text without words is a class of its own; null ids take part and
 their class_id is the class's least id (null if it has none); repeated rows fall into one class; an empty
 table gives no rows; columns other than id and text are not read; very long texts are read whole.
@@ -209,16 +211,6 @@ def deviation(x: tuple[np.ndarray, np.ndarray], centre: tuple[np.ndarray, np.nda
     return parts.view(np.int64), np.cumsum(np.abs(difference)[::-1])[::-1].copy()
 
 
-def _check_node(batches):
-    """Keep the rows whose text has the node that is asked for: ids may repeat."""
-    for batch in batches:
-        data, at = flat(batch["text"])
-        keys = []
-        for first, last in blocks(at):
-            keys += nodes(*tokens(data, at[first : last + 1]), last - first)
-        yield batch.filter(pa.array([a == b for a, b in zip(keys, batch["node"].to_pylist())], pa.bool_()))
-
-
 def _sides(table):
     """Weighted shingles of a node's text; the latest nodes are kept, as rows of one star come together."""
     seen: dict[bytes, tuple] = {}
@@ -313,22 +305,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """One row for each row of docs: doc_id, class_id (see the module). keyed: also key (text_key of the
     text) and kept: true for the row of the least id, then key, of a class (null ids come last) and for rows
     without words; rows that repeat both id and text agree in it."""
-    spark, own = docs.sparkSession, narrow(docs, id_col, text_col, binary=True)
-    own = own.withColumn("key", text_key("text")) if keyed else own
+    spark, own = docs.sparkSession, narrow(docs, id_col, text_col, binary=True).withColumn("key", text_key("text"))
     row = ["doc_id", "key"] if keyed else ["doc_id"]
     df, n = document_frequencies(own)
     table, frequencies = spark.sparkContext.broadcast(factors(df, n)), spark.sparkContext.broadcast(df)
-    rows = stage(map_batches(own, lean(_sketch(table)), f"doc_id long, {'key binary, ' if keyed else ''}node binary, bands array<long>, rarity double"), "sketches")
-    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.min("rarity").alias("rarity"))
-    member = stage(known.select("node", "least_id", F.struct("rarity", "node").alias("best"), F.explode("bands").alias("bucket")), "members")
+    rows = stage(map_batches(own, lean(_sketch(table)), "doc_id long, key binary, node binary, bands array<long>, rarity double"), "sketches")
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("holder")  # the row whose text stands for the node
+    known = rows.filter("node IS NOT NULL").groupBy("node").agg(holder, F.first("bands").alias("bands"), F.min("rarity").alias("rarity"))
+    member = stage(known.select("node", "holder", F.struct("rarity", "node").alias("best"), F.explode("bands").alias("bucket")), "members")
     shared = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("best").alias("best")).filter("n > 1").select("bucket", "best")
     member = stage(member.drop("best").join(shared, "bucket"), "shared")
     often = lambda rows, of, what: rows.groupBy(of, what).agg(F.count("*").alias("n")).groupBy(of).agg(F.min(F.struct((-F.col("n")).alias("n"), what))[what].alias("most"))
     hub = often(member, "node", "best").withColumnRenamed("most", "hub")
     centre = often(member.join(hub, "node"), "bucket", "hub").select("bucket", F.col("most.node").alias("centre"))
-    wanted = member.select("node", "least_id").distinct()
-    found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["least_id"])).select("node", "text")
-    texts = stage(map_batches(found, lean(_check_node), "node binary, text binary").dropDuplicates(["node"]), "texts")
+    wanted = member.select("node", F.col("holder.doc_id").alias("id"), F.col("holder.key").alias("hash")).distinct()
+    found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["id"]) & (own["key"] == wanted["hash"])).select("node", "text")
+    texts = stage(found.dropDuplicates(["node"]), "texts")
 
     spokes = member.join(centre, "bucket").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     star = _verify(spokes, texts, table)
