@@ -3,12 +3,12 @@
 Documents are encoded and cut into pieces of at most 4096 ids; pieces are staged in the shared folder.
 Only the histogram (one count a length) reaches the driver, where lengths go longest first, each into
 the packs with the most room, whole groups of equal packs at a time. The patterns so found are joined
-back by rank: a piece's rank among those of its length is a salted count plus a row number, so no
-length, however common, meets in one task.
+back by rank: a piece's rank among those of its length is a salted count plus a row number, with as many
+salts as keep each part of the most common length small, so no length, however common, meets in one task.
 
 Defined cases: a null text is empty, and an empty text is the end id alone; null ids are kept and rank
-first; repeated rows are packed once each; an empty table gives no rows; columns other than id and text
-are not read.
+first; repeated rows are packed once each; an empty table gives no rows; texts of any length are cut
+whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import map_batches, narrow, stage
 from .encoding import MOST, encoder, groups
 
-#: Ranks of one length are counted in so many salted parts.
-SALTS = 256
+#: Pieces of one length whose ranks are counted in one task, about.
+RANKED = 20_000
 
 
-def _cut(tokenizer: str, end_id: int, most: int, kept: int):
+def _cut(tokenizer: str, end_id: int, most: int, kept: int, ids_too: bool):
     def run(batches):
         enc = encoder(tokenizer, False, kept)
         end = np.array([end_id], "<u4")
@@ -42,18 +42,19 @@ def _cut(tokenizer: str, end_id: int, most: int, kept: int):
                     tokens = np.concatenate([np.frombuffer(x, enc.dtype).astype("<u4"), end])
                     for start in range(0, len(tokens), most):
                         piece = tokens[start : start + most]
-                        rows.append((ids[at], start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), piece.astype(enc.dtype).tobytes()))
+                        rows.append((ids[at], start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), *([piece.astype(enc.dtype).tobytes()] if ids_too else [])))
                     at += 1
-            columns = [*zip(*rows)] or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids_too else [])]
+            kinds = [pa.binary() if x == "ids" else pa.int64() for x in names]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, [*zip(*rows)] or [()] * len(names), kinds)], names)
 
     return run
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", kept: int = MOST) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, ids (binary, little-endian, 2 bytes an id if the vocabulary allows)."""
-    return map_batches(narrow(docs, id_col, text_col), _cut(tokenizer, end_id, most, kept), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", kept: int = MOST, ids_too: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and, with ids_too, ids (binary, little-endian, 2 bytes an id if the vocabulary allows)."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if ids_too else "")
+    return map_batches(narrow(docs, id_col, text_col), _cut(tokenizer, end_id, most, kept, ids_too), schema)
 
 
 def patterns(histogram: dict[int, int], most: int = 4096) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -124,8 +125,9 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     """The layout of staged pieces: their columns but ids, with sequence_id and offset."""
     histogram = {x["length"]: x["count"] for x in pieces.groupBy("length").count().collect()}  # `most` rows at most
     slots = _slots(patterns(histogram, most), most)
-    salted = pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()  # `most` times SALTS rows at most
+    salts = -(-max(histogram.values(), default=1) // RANKED)
+    salted = pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    counts = salted.groupBy("length", "salt").count()  # a row for each part of a length
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "start", "ids_crc32", "doc_tokens")
@@ -146,4 +148,4 @@ def op4(spark: SparkSession, docs: DataFrame, kept: int = MOST) -> DataFrame:
     """kept: chunks that a worker keeps with their ids; fewer take less memory and more time."""
     import public_tokenizers
 
-    return pack(stage(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=kept), "pieces"))
+    return pack(stage(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=kept, ids_too=False), "pieces"))
