@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import os
 import re
 import sys
@@ -70,8 +71,34 @@ class _Known(dict):
         return value
 
 
+# The settings of tokenizer files whose splits the expressions above repeat.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KNOWN = {
+    True: (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+    ),
+}
+
+
+def _plain(part):
+    """Settings without those that change no id (how offsets are trimmed)."""
+    if isinstance(part, dict):
+        return {k: _plain(v) for k, v in part.items() if k != "trim_offsets"}
+    return [_plain(x) for x in part] if isinstance(part, list) else part
+
+
+def splits_are_known(settings: dict, byte_level: bool) -> bool:
+    """Whether texts under these settings may be cut as this module cuts them."""
+    own = _plain(settings.get("normalizer")), _plain(settings.get("pre_tokenizer"))
+    added = [x for x in settings.get("added_tokens", ()) if not x.get("special") or x.get("lstrip") or x.get("rstrip") or x.get("single_word")]
+    return own == _KNOWN[byte_level] and not added and not settings.get("truncation") and not settings["model"].get("dropout")
+
+
 class Encoder:
-    """Texts to ids as little-endian bytes, 2 an id where the vocabulary allows it, else 4."""
+    """Texts to ids as little-endian bytes, 2 an id where the vocabulary allows it, else 4. Files with other
+    settings than those known here are given whole texts."""
 
     def __init__(self, path: str, byte_level: bool, most: int = MOST):
         """byte_level: spaces belong to the following chunk; else blanks are dropped. most: chunks kept, and a quarter as many other pre-tokens."""
@@ -82,6 +109,7 @@ class Encoder:
         self.byte_level = byte_level
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self._code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.whole = not splits_are_known(json.loads(self.tokenizer.to_str()), byte_level)
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self._findall = (_BYTE_PIECES if byte_level else _WORD_PIECES).findall
         self.pieces = _Known(lambda x: (self._ids(x), True), most // 4)
@@ -113,7 +141,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         get, out = self.chunks.__getitem__, []
         for text in texts:
-            if self.special.search(text):
+            if self.whole or self.special.search(text):
                 out.append(self._ids(text))
             elif self.byte_level:
                 head, *rest = cut_at_spaces(text)

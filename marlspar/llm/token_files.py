@@ -9,8 +9,9 @@ Files of shard k: tokens-k.bin (uint16, or uint32 if the vocabulary needs it), d
 offsets-k.bin (int64, one more than documents: global positions), and manifest.json for all.
 
 Defined cases: a null text is empty, and an empty text is the end id alone; a null id stands first and
-is kept as the least int64; of equal ids the smaller text stands first; an empty table gives no shards;
-columns other than id and text are not read.
+is kept as the least int64; equal ids stand in the order of a hash of the text, then of the text, so that
+an id (or null) that very many rows share is dealt over many shards; an empty table gives no shards; texts
+of any length are encoded whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -46,14 +47,27 @@ def _put(system: fs.FileSystem, path: str, arrays) -> None:
     system.move(own, path)
 
 
-def _get(system: fs.FileSystem, path: str, dtype) -> np.ndarray:
-    """Memory-mapped where the folder is mounted, else read through the file system's own client."""
-    if not system.get_file_info(path).size:
+class _Ranges:
+    """A flat file read through the file system's own client, only where it is sliced."""
+
+    def __init__(self, system: fs.FileSystem, path: str, dtype, size: int):
+        self.file, self.dtype, self.length = system.open_input_file(path), np.dtype(dtype), size // np.dtype(dtype).itemsize
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        first, last, _ = part.indices(self.length)
+        self.file.seek(first * self.dtype.itemsize)
+        return np.frombuffer(self.file.read_buffer(max(last - first, 0) * self.dtype.itemsize), self.dtype)
+
+
+def _get(system: fs.FileSystem, path: str, dtype):
+    """What a file holds, by slices: memory-mapped where the folder is mounted, else ranges of it."""
+    size = system.get_file_info(path).size
+    if not size:
         return np.zeros(0, dtype)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), dtype)
+    return np.memmap(path, dtype, "r") if isinstance(system, fs.LocalFileSystem) else _Ranges(system, path, dtype, size)
 
 
 def _write_shards(directory: str, tokenizer: str, byte_level: bool, end_id: int):
@@ -86,7 +100,7 @@ def _write_offsets(directory: str):
         system, root = _open(directory)
         for batch in batches:
             for row in batch.to_pylist():
-                lengths = _get(system, f"{root}/lengths-{row['shard']:06d}.bin", "<i8")
+                lengths = _get(system, f"{root}/lengths-{row['shard']:06d}.bin", "<i8")[:]
                 _put(system, f"{root}/offsets-{row['shard']:06d}.bin", [(row["base"] + np.concatenate([[0], np.cumsum(lengths)])).astype("<i8").tobytes()])
             yield batch.select(["shard"])
 
@@ -98,10 +112,11 @@ def _read_shards(directory: str, dtype: str, block: int = 4096):
         system, root = _open(directory)
         for shard in (x for batch in batches for x in batch["shard"].to_pylist()):
             tokens, docs, at = (_get(system, f"{root}/{name}-{shard:06d}.bin", kind) for name, kind in (("tokens", dtype), ("docs", "<i8"), ("offsets", "<i8")))
+            base = int(at[:1][0]) if len(at) else 0
             for first in range(0, len(docs), block):
                 ends = at[first : first + block + 1]
-                local = ends - at[0]
-                crcs = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(local[:-1], local[1:])]
+                local = ends - base
+                crcs = [zlib.crc32(tokens[int(a) : int(b)].astype("<u4").tobytes()) for a, b in zip(local[:-1], local[1:])]
                 own = np.array(docs[first : first + block])
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == NULL_ID), pa.array(np.array(ends[:-1]), pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -114,7 +129,8 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
     system, root = _open(directory)
     system.create_dir(root, recursive=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow(docs, id_col, text_col).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = narrow(docs, id_col, text_col).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     found = sorted(map(tuple, map_batches(ordered, _write_shards(directory, tokenizer, byte_level, end_id), "shard int, n_docs long, n_tokens long").collect()))
     bases = [0, *accumulate(x[2] for x in found)]
     shards = [{"shard": s, "n_docs": d, "n_tokens": t, "base": b} for (s, d, t), b in zip(found, bases)]
