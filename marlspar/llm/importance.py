@@ -3,8 +3,10 @@
 Words and runs of punctuation, in their own case, are hashed as unigrams and bigrams into 2^16 buckets;
 all bigrams of a word and itself share a bucket.
 The target model counts the buckets of a bounded sample of documents labelled good, the raw model those
-of all documents; a document's log weight is the sum of its n-grams' log ratios, scaled down to 64
-n-grams in longer documents (else a long text's small bias outweighs everything). The sample of k
+of all documents. A document's n-grams are not independent draws: with n of them, each two correlated by
+CORRELATION, their mean is as sure as that of n / (1 + (n - 1) CORRELATION) independent ones (the design
+effect of cluster samples), and the log weight is the sum of log ratios over 1 + (n - 1) CORRELATION, for
+texts of every length alike. The sample of k
 documents without replacement is the k largest values of log weight plus Gumbel noise (from a hash of
 the id, so that a task that runs again draws the same). Unless k is given it is the number of
 documents that are not clearly bad: share * weight >= 0.02, share being the part of the labels that
@@ -16,7 +18,8 @@ round of the selection brings it at most BINS rows.
 Defined cases: a null text is empty; an empty text has no n-grams and the log weight 0; null labels
 count as not good; null ids share one draw of noise; repeated rows share theirs, and all rows tied with
 the k-th are kept; without good labels every weight is 1 and everything is kept; an empty table
-gives no rows; columns other than id and text are not read.
+gives no rows; texts are read whole; columns other than id and text are not read, but handed on in one
+struct column on request, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks, flat, lean, map_batches, narrow, stage
+from .common import blocks, flat, lean, map_batches, narrow, stage, wrapped
 from .hashing import WORDS_AND_MARKS, mix, tokens
 
 BITS = 16
@@ -37,8 +41,8 @@ TARGET_ROWS = 20_000
 SMOOTHING = 64.0
 #: A document counts against k only if it is this unlikely to be good: doubtful ones are kept.
 DOUBT = 0.02
-#: A document's n-grams are not independent: their sum counts as that of so many at most, at their mean.
-EVIDENCE = 64
+#: Correlation of the log ratios within a document.
+CORRELATION = 1 / 64
 #: The hash of any word followed by itself: a repeated word is one feature, whatever the word.
 TWICE = np.uint64(0x5851F42D4C957F2D)
 BINS = 4096
@@ -90,38 +94,38 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> t
 def _weigh(ratios: np.ndarray):
     def run(batches):
         for batch in batches:
-            data, at = flat(batch["__text"])
+            data, at = flat(batch["text"])
             n, weight = [], []
             for first, last in blocks(at):
                 owner, buckets = ngrams(data, at[first : last + 1])
                 n.append(np.bincount(owner, minlength=last - first))
                 weight.append(np.bincount(owner, ratios[buckets], minlength=last - first))
             n, weight = (np.concatenate(x) if x else np.zeros(0) for x in (n, weight))
-            weight = weight / np.maximum(n, 1) * np.minimum(n, EVIDENCE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), pa.array(weight.astype(np.float64))], names=[*batch.schema.names[:-1], "__n_ngrams", "__log_weight"])
+            weight = weight / (1 + np.maximum(n - 1, 0) * CORRELATION)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(weight.astype(np.float64))], names=[batch.schema.names[0], "n_ngrams", "log_weight"])
 
     return run
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """doc_id (or all columns of docs), __n_ngrams, __log_weight, __key: a row for each row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text")
-    own = docs.select("*" if keep_columns else F.col(id_col).cast("long").alias("doc_id"), text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]), "__n_ngrams long, __log_weight double"])
+    """doc_id (or row, a struct of all columns of docs), n_ngrams, log_weight, key: a row for each row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    own = wrapped(docs, text) if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    schema = T.StructType([own.schema.fields[0], T.StructField("n_ngrams", T.LongType()), T.StructField("log_weight", T.DoubleType())])
     out = map_batches(own, _weigh(ratios), schema)
-    uniform = (F.pmod(F.xxhash64(F.col(id_col if keep_columns else "doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.round((F.col("__log_weight") - F.log(-F.log(uniform))) * STEPS).cast("long")
-    return out.withColumn("__key", key)
+    number = F.col("row").getField(id_col).cast("long") if keep_columns else F.col("doc_id")
+    uniform = (F.pmod(F.xxhash64(number, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return out.withColumn("key", F.round((F.col("log_weight") - F.log(-F.log(uniform))) * STEPS).cast("long"))
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest of the long column `__key`, exactly; None if k < 1. The least if there are fewer."""
-    low, high = keys.agg(F.min("__key"), F.max("__key")).first()
+    """The k-th largest of the long column `key`, exactly; None if k < 1. The least if there are fewer."""
+    low, high = keys.agg(F.min("key"), F.max("key")).first()
     if low is None or k < 1:
         return None
     while low < high:
         width = (high - low) // BINS + 1
-        bins = keys.filter(F.col("__key").between(low, high)).groupBy(F.expr(f"(__key - {low}L) div {width}L").alias("bin")).count()
+        bins = keys.filter(F.col("key").between(low, high)).groupBy(F.expr(f"(key - {low}L) div {width}L").alias("bin")).count()
         for row in sorted(bins.collect(), reverse=True):  # BINS rows at most
             if row["count"] >= k:
                 low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
@@ -135,18 +139,18 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 42, keep_columns: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id (or all its columns), __n_ngrams, __log_weight, __key, __kept.
+    """One row for each row of docs: doc_id (or row, a struct of all its columns), n_ngrams, log_weight, key, kept.
 
     Only ids and weights are staged; with keep_columns the texts are weighed once more as they pass."""
     ratios, share = fit(docs, labels)
     scored = stage(weigh(docs, ratios, seed), "weights")
     if k is None:
-        k = scored.filter(F.col("__log_weight") >= float(np.log(DOUBT / share))).count() if share else 0
-    least = kth_largest(scored.select("__key"), k)
+        k = scored.filter(F.col("log_weight") >= float(np.log(DOUBT / share))).count() if share else 0
+    least = kth_largest(scored.select("key"), k)
     out = weigh(docs, ratios, seed, keep_columns=True) if keep_columns else scored
-    return out.withColumn("__kept", F.lit(False) if least is None else F.col("__key") >= least)
+    return out.withColumn("kept", F.lit(False) if least is None else F.col("key") >= least)
 
 
 def op10(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = resample(docs, labels)
-    return found.select("doc_id", F.col("__n_ngrams").alias("n_ngrams"), F.round("__log_weight", 6).alias("log_weight"), F.round(F.col("__key") / STEPS, 6).alias("gumbel_key"), F.col("__kept").alias("kept"))
+    return found.select("doc_id", "n_ngrams", F.round("log_weight", 6).alias("log_weight"), F.round(F.col("key") / STEPS, 6).alias("gumbel_key"), "kept")
