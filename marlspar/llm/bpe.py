@@ -7,7 +7,7 @@ side by side in numpy arrays; a long one runs alone, in O(n log n). Each distinc
 once a worker, in a cache of bounded size.
 
 Defined cases: a null text is empty and has no ids; null ids stay null; repeated rows give repeated
-results; texts are read whole; columns other than id and text are not read.
+results; an empty table gives no rows; texts are read whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations

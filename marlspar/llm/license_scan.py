@@ -6,8 +6,8 @@ text; the longest well-formed start of what follows a tag on its line is taken a
 ( ) AND OR WITH and +. Punctuation behind an identifier is not part of it and ends the expression.
 
 Defined cases: a null text is empty; an empty text has no words, notices or tags and the score 0;
-texts are read whole; repeated rows give repeated results; null ids stay null; columns other than id
-and text are not read; a line of which no start is an expression gives valid = false, no labels, score 0.
+texts are read whole; repeated rows give repeated results; null ids stay null; an empty table gives no
+rows; columns other than id and text are not read; a line of which no start is an expression gives valid = false, no labels, score 0.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ The hash is 64 signs of the low-frequency cosine coefficients of the image shrun
 
 Defined cases: a null text is empty, and an empty text is one row of spaces; a damaged image raises
 ValueError; equal payloads give equal images and hashes; null ids stay null; repeated rows give
-repeated results; columns other than id and text are not read.
+repeated results; texts of any length become one image, whole; an empty table gives no rows; columns
+other than id and text are not read.
 """
 
 from __future__ import annotations

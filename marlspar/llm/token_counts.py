@@ -7,7 +7,7 @@ that share it, and the node that ends a pre-token gives that pre-token's count.
 with fewer tokens counts. The trie starts anew when it exceeds a bound, which changes no count.
 
 Defined cases: a null text is empty and has no tokens; null ids stay null; repeated rows give repeated
-results; texts are read whole; columns other than id and text are not read.
+results; an empty table gives no rows; texts are read whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -1,19 +1,24 @@
 """The corpus operators against brute force on small, awkward tables."""
 
 import hashlib
+import json
 import math
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from marlspar.llm import bpe, encoding, exact_dedup, importance, license_scan, media, near_dup, packing, queries, secret_scan, token_counts, token_files, trigrams
-from marlspar.llm.common import scratch
+from marlspar.llm.common import scratch, shared_dir
 from marlspar.llm.hashing import tokens
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa été straße 日本 x1".split()
@@ -123,6 +128,23 @@ def test_png_filters_against_pixel_by_pixel():
         assert (out == rows).all() and (media.unfiltered(kinds, lines, bpp) == rows).all()
 
 
+@pytest.mark.parametrize("height, width", [(1, 192), (32, 32), (70, 192), (5, 7)])
+def test_cosine_hash_by_definition(height, width):
+    image = np.random.default_rng(height).integers(0, 256, (height, width), dtype=np.uint8).tolist()
+    edges = [[i * n // 32 for i in range(33)] for n in (height, width)]
+
+    def cell(y, x):
+        rows, columns = (range(e[i], max(e[i + 1], e[i] + 1)) for e, i in zip(edges, (y, x)))
+        return sum(image[a][b] for a in rows for b in columns) / (len(rows) * len(columns))
+
+    small = [[cell(y, x) for x in range(32)] for y in range(32)]
+    wave = [[math.cos(math.pi / 32 * (i + 0.5) * k) for i in range(32)] for k in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    rest = sorted(low[1:])
+    bits = "".join("1" if c > rest[31] else "0" for c in low)
+    assert media.cosine_hash(np.array(image, np.uint8)) == int(bits, 2).to_bytes(8, "big")
+
+
 def test_damaged_png():
     png = media.write_png(b"x" * 384)
     for bad in (b"no", png[:40] + bytes([png[40] ^ 1]) + png[41:], png[:-6]):
@@ -220,6 +242,16 @@ def test_packing(spark, docs, empty):
         assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids) for r in own)
 
 
+def test_packs_are_nearly_full(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, "word " * rng.choice([rng.randrange(1, 400), rng.randrange(1, 6000), 4096])) for i in range(600)]
+    out = packing.op4(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    check_packing(out)
+    used, most = out.agg(F.sum("length"), F.max("sequence_id")).first()
+    assert used == sum(len(t.split()) + 1 for _, t in rows) and used > 0.98 * 4096 * (most + 1)
+
+
 def test_patterns_hold_the_histogram():
     rng = random.Random(0)
     for _ in range(30):
@@ -254,21 +286,48 @@ def test_exact_dedup(spark, docs, empty):
 
 def test_index_grows(spark, docs):
     index = exact_dedup.temporary_index(spark)
-    first = exact_dedup.deduplicate(docs.filter("doc_id < 6"), index)
+    first = exact_dedup.deduplicate(docs.filter("doc_id < 6"), index, "one")
     assert first.filter("seen").count() == 0
-    again = exact_dedup.deduplicate(docs.filter("doc_id >= 4"), index)
+    again = exact_dedup.deduplicate(docs.filter("doc_id >= 4"), index, "two")
     assert {r.doc_id for r in again.filter("seen").collect()} == {4, 5} and again.filter("seen AND kept").count() == 0
     assert index.read().groupBy("digest").count().filter("count > 1").count() == 0
     kept = exact_dedup.keep_first(docs, exact_dedup.temporary_index(spark))
     assert kept.columns == docs.columns and kept.count() == exact_dedup.op5(spark, docs).filter("kept").count()
+    with pytest.raises(ValueError):
+        exact_dedup.deduplicate(docs, index, "a b")
     index.drop()
 
 
+def test_index_outlives_the_session_and_a_batch_runs_again(spark, docs):
+    path = scratch(spark, "kept-index")
+    shown = lambda df: sorted(map(repr, df.select("doc_id", "keep_id", "group_size", "copy", "kept", "seen").collect()))
+    first = shown(exact_dedup.deduplicate(docs.filter("doc_id < 6"), exact_dedup.DigestIndex(spark, path), "one"))
+    other = spark.newSession()
+    for (name,) in [x[:1] for x in spark.sql("SHOW TABLES LIKE 'marlspar_index_*'").select("tableName").collect()]:
+        spark.sql(f"DROP TABLE {name}")  # what a new session doesn't know
+    rows = other.createDataFrame(docs.collect(), docs.schema)
+    index = exact_dedup.DigestIndex(other, path, buckets=99)
+    assert shown(exact_dedup.deduplicate(rows.filter("doc_id < 6"), index, "one")) == first
+    second = shown(exact_dedup.deduplicate(rows.filter("doc_id >= 4"), index, "two"))
+    index.merge()
+    assert index.read().select("batch").distinct().count() == 1 and index.read().count() == len({exact for exact in ((t or "").translate(str.maketrans(exact_dedup.string.ascii_uppercase, exact_dedup.string.ascii_lowercase)) for t in TEXTS)})
+    assert "True" in second[0] + second[1] and exact_dedup.deduplicate(rows, index, "three").filter("NOT seen").count() == 0
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 2), (2, "A", 3, 4), (None, "b", 5, 6), (None, "b", 5, 6), (3, None, 7, 8)], "doc_id long, text string, row long, `digest` long")
+    left = exact_dedup.keep_first(rows, exact_dedup.temporary_index(spark))
+    assert left.columns == rows.columns and sorted(map(str, left.collect())) == sorted(map(str, [r for i, r in enumerate(rows.collect()) if i in (1, 2, 4)]))
+    assert exact_dedup.keep_first(rows.limit(0), exact_dedup.temporary_index(spark)).count() == 0
+
+
 def test_every_run_meets_the_index(spark, docs, monkeypatch):
     asked, unseen = [], exact_dedup.DigestIndex.unseen
-    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda index, digests: asked.append(unseen(index, digests)) or asked[-1])
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda index, digests, batch: asked.append(unseen(index, digests, batch)) or asked[-1])
     assert exact_dedup.op5(spark, docs).count() == len(TEXTS) + 2 and exact_dedup.keep_first(docs, exact_dedup.temporary_index(spark)).count()
-    assert len(asked) == 2 and all("LeftAnti" in x._jdf.queryExecution().toString() for x in asked)
+    assert len(asked) == 4 and all("LeftAnti" in x._jdf.queryExecution().toString() for x in asked)
+    met = asked[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in met and "Bucketed: true" in met
 
 
 # 6
@@ -298,6 +357,32 @@ def test_encoder_equals_the_library(name, byte_level):
         assert np.frombuffer(ids, own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name, byte_level, change", [("byte_bpe_50k.json", True, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}), ("byte_bpe_50k.json", True, {"normalizer": {"type": "Lowercase"}}), ("word_bpe_49k.json", False, {"normalizer": {"type": "NFC"}})])
+def test_other_settings_are_left_to_the_library(tmp_path, name, byte_level, change):
+    with open(public_tokenizers.path(name)) as f:
+        settings = json.load(f)
+    (tmp_path / "own.json").write_text(json.dumps(settings | change))
+    own = encoding.Encoder(str(tmp_path / "own.json"), byte_level)
+    texts = ["a hello,world b", "Two  Words\n", "", "É"]
+    assert own.whole and not encoding.Encoder(public_tokenizers.path(name), byte_level).whole
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shared_ids_are_dealt_over_shards(spark, tmp_path):
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    made = token_files.write_tokens(rows, f"file://{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    assert len(made["shards"]) == 4 and max(x["n_docs"] for x in made["shards"]) < 200
+    assert token_files.read_tokens(spark, f"file://{tmp_path}/t").count() == 400
+
+
+def test_ranges_of_a_file_equal_the_file(tmp_path):
+    values = np.arange(1000, dtype="<u2")
+    (tmp_path / "f").write_bytes(values.tobytes())
+    system, path = token_files._open(f"file://{tmp_path}/f")
+    part = token_files._Ranges(system, path, "<u2", 2000)
+    assert len(part) == 1000 and all((part[a:b] == values[a:b]).all() for a, b in ((0, 1000), (5, 9), (7, 7), (990, 2000))) and (part[:] == values).all()
+
+
 # 7
 
 
@@ -343,6 +428,51 @@ def test_whole_keys_are_redacted(spark):
     }
 
 
+def test_index_answers_rules_that_come_later(spark, docs):
+    path = scratch(spark, "kept-postings")
+    secret_scan.build_index(docs, path)
+    index = secret_scan.read_index(spark, path)
+    rule = secret_scan.Rule("later", "under the [a-z]+ license")
+    found = {r.key for r in secret_scan.candidates(index, (rule,)).collect()}
+    own = {r.doc_id for r in index.rows.collect() if r.key in found}
+    assert {i for i, t in by_id() if re.search(rule.pattern, t)} <= own <= {i for i, t in by_id() if "under the " in t.lower()}
+    every = {(i, m.start(), m.end()) for i, t in by_id() for m in re.finditer(rule.pattern, t)}
+    spans = secret_scan.scan(docs, index, (rule,)).join(index.rows.select("key", "check", "doc_id").distinct(), ["key", "check"])
+    assert {(r.doc_id, r.start, r.end) for r in spans.collect()} == every and every
+
+
+def test_postings_hold_every_trigram(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "PART", 7)
+    texts = ["", "ab", "abc", "Straße 日本語🙂 x\ny", "abcdefghij" * 5]
+    index = secret_scan.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {r.key: r.doc_id for r in index.rows.collect()}
+    code = {t: spark.range(1).select(F.hash(F.lit(t))).first()[0] for x in texts for t in (x.lower()[i : i + 3] for i in range(len(x) - 2))}
+    held = {(ids[r.key], r.trigram) for r in index.postings.collect()}
+    assert {(i, code[x.lower()[k : k + 3]]) for i, x in enumerate(texts) for k in range(len(x) - 2)} <= held
+
+
+def brute_redacted(text, mark="[SECRET]"):
+    out, end = "", 0
+    for a, _, _, b in brute_secrets(text):
+        if a >= end:
+            out += text[end:a] + mark
+        end = max(a, end, b)
+    return out + text[end:]
+
+
+def test_redaction_in_linear_time(spark):
+    rng = random.Random(8)
+    many = " ".join(f"token={rng.getrandbits(64):016x} é" for _ in range(32000))
+    texts = [many, "token=" + "a1" * 3000, "AKIA" + "A" * 20 + "0123456789abcdef" * 3, "é" * 1023 + ' secret: "0123456789abcdef"', "token=0123456789abcdef", None, "", "clean " * 500]
+    texts += ["".join(rng.choice(["token=", "AKIA", "0123456789abcdef", "ABCDEFGHIJKLMNOP", " ", "é", "x" * 700]) for _ in range(30)) for _ in range(40)]
+    rows = spark.createDataFrame([(None if i % 9 == 4 else i, t, i, "k", True) for i, t in enumerate(texts)], "doc_id long, text string, `key` int, `row` string, gaps boolean").repartition(3)
+    began = time.time()
+    clean = {r["key"]: r for r in secret_scan.redact(rows).collect()}
+    assert time.time() - began < 60
+    assert {i: r.text for i, r in clean.items()} == {i: None if t is None else brute_redacted(t) for i, t in enumerate(texts)} and all(r["row"] == "k" for r in clean.values())
+    assert secret_scan.redact(rows.limit(0)).columns == rows.columns
+
+
 def test_base_rules_equal_the_stated_ones():
     rng = random.Random(4)
     stated = [(re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]
@@ -464,9 +594,46 @@ def test_importance_sample_against_brute_force(spark):
     found = importance.resample(docs, labels, k=50).collect()
     for r in found:
         own = weights[r.doc_id]
-        assert r["__log_weight"] == pytest.approx(expected[own].mean() * min(len(own), importance.EVIDENCE))
-    order = sorted(found, key=lambda r: -r["__key"])
-    assert {r.doc_id for r in found if r["__kept"]} == {r.doc_id for r in order[:50]}
+        assert r["log_weight"] == pytest.approx(expected[own].sum() / (1 + (len(own) - 1) / 64))
+    order = sorted(found, key=lambda r: -r["key"])
+    assert {r.doc_id for r in found if r["kept"]} == {r.doc_id for r in order[:50]}
+
+
+def test_ngrams_and_noise_by_definition(spark):
+    rng = random.Random(11)
+    parts = ["word", "Word", "été", "x1", "#", "##", ", ", " ", "\n", "日本", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(60)] + ["", "a a a", "b b"]
+    data = [t.encode() for t in texts]
+    owner, buckets = importance.ngrams(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    held = [Counter(buckets[owner == i].tolist()) for i in range(len(texts))]
+    names = []
+    for t in texts:  # runs of word characters or of punctuation, and pairs of them
+        runs = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[!-/:-@\[-`{-~]+", t)
+        names.append(Counter(runs) + Counter("twice" if a == b else (a, b) for a, b in zip(runs, runs[1:])))
+    assert [x.total() for x in held] == [x.total() for x in names]
+    where = {x: bucket_of(importance, x) for c in names for x in c}
+    assert len(set(where.values())) > 0.99 * len(where)
+    for own, named in zip(held, names):
+        expected = Counter()
+        for name, n in named.items():
+            expected[where[name]] += n
+        assert own == expected
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ratios = np.random.default_rng(0).normal(size=1 << 16)
+    for r in importance.weigh(docs, ratios).collect():
+        n = held[r.doc_id].total()
+        weight = sum(ratios[b] * k for b, k in held[r.doc_id].items()) / (1 + max(n - 1, 0) / 64)
+        inner = xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        outer = xxhash.xxh64_intdigest(struct.pack("<i", 42), inner)
+        uniform = (outer % (1 << 52) + 0.5) / (1 << 52)
+        assert r.n_ngrams == n and r.log_weight == pytest.approx(weight) and r.key == pytest.approx((weight - math.log(-math.log(uniform))) * (1 << 20), abs=2)
+
+
+def bucket_of(module, name):
+    """The bucket of one run, of a pair, or of any run followed by itself."""
+    text = "q q" if name == "twice" else " ".join(name) if isinstance(name, tuple) else name
+    owner, buckets = module.ngrams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    return int(buckets[-1])
 
 
 def test_importance_awkward(spark, docs, empty):
@@ -479,7 +646,7 @@ def test_importance_awkward(spark, docs, empty):
 def test_kth_largest(spark):
     rng = random.Random(2)
     keys = [rng.randrange(-(10**9), 10**9) for _ in range(500)] + [7] * 20
-    df = spark.createDataFrame([(x,) for x in keys], "__key long")
+    df = spark.createDataFrame([(x,) for x in keys], "key long")
     for k in (1, 2, 37, 300, 520):
         assert importance.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
     assert importance.kth_largest(df, 0) is None
@@ -517,6 +684,41 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == set(seen["secrets"])
 
 
+def test_pipeline_awkward(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns, no rows at all."""
+    import corpus_pipeline
+
+    rows = [(None, None, "en", 1, 2), (None, None, "en", 1, 2), (None, "", "en", 1, 2), (5, 'secret = "0123456789abcdef" in a text', "en", 3, 4), (5, "other words", "en", 3, 4), (6, LONG, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, `key` int, `kept` int")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table, n in ((docs, 4), (docs.limit(0), 0)):
+        now = table
+        for name, function in corpus_pipeline.STAGES:
+            now = function(spark, now, str(tmp_path))
+            path = scratch(spark, name)
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+            if name != "packing":
+                assert now.columns == docs.columns
+                last = now.collect()
+        assert len(last) == n and sum("[SECRET]" in (r.text or "") for r in last) == min(n, 1)
+        check_packing(now)
+
+
+def test_very_long_text(spark):
+    """A text of some megabytes beside short ones, through every operator."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(400_000)) + " under the MIT license token=0123456789abcdef"
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, long.replace("token", "x token"))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    calls = [license_scan.op1, media.op2, near_dup.op3, lambda d: packing.op4(spark, d), lambda d: exact_dedup.op5(spark, d), lambda d: token_files.op6(spark, d), secret_scan.op7, bpe.op8, token_counts.op9, lambda d: importance.op10(spark, d, labels)]
+    out = [collected(f(docs)) for f in calls]
+    assert out[0][1][0].n_base == 1 and out[0][1][0].n_words == 400_006 and out[1][1][0].n_bytes == len(long)
+    assert out[2][3][0].class_id == 1 and out[2][2][0].class_id == 2 and out[4][1][0].group_size == 1 and out[6][1][0].n_assign == out[6][3][0].n_assign == 1
+    assert sum(r.length for r in out[3][1]) == out[3][1][0].doc_tokens and out[7][1][0].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_near_stage_with_repeated_and_null_ids(spark):
     import corpus_pipeline
 
@@ -532,5 +734,14 @@ def test_registry():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
 
 
-def test_scratch_is_shared(spark):
-    assert scratch(spark, "x").startswith("file:///")
+@pytest.mark.parametrize("setting", ["/some/folder", "file:///some/folder/", None])
+def test_scratch_is_shared(setting):
+    context = SimpleNamespace(master="local[2]")
+    session = SimpleNamespace(conf={"spark.checkpoint.dir": setting}, sparkContext=context)
+    shared = shared_dir(session)
+    assert shared == (setting.rstrip("/") if setting else context._marlspar_shared) and scratch(session, "x").startswith(f"{shared}/marlspar-x-")
+    assert shared_dir(session) == shared
+    context.master = "spark://host:7077"
+    if setting is None:
+        with pytest.raises(ValueError):
+            shared_dir(session)
