@@ -2,7 +2,8 @@
 
 Each stage takes what the one before kept and returns rows with the columns of documents, the last one
 the layout of packed sequences. Ids may repeat or be null: rows are known by id and text, and exact
-deduplication has left no two rows of one text.
+deduplication has left no two rows of one text. A null text is an empty one, of which one row stays; an
+empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspar.llm import exact_dedup, importance, near_dup, packing, secret_scan
-from marlspar.llm.common import documents, sized, stage
+from marlspar.llm.common import documents, listed, stage, wrapped
 
 #: Some stages are not expressible in SQL (hashed models, samples of weighted sets, tokenizers).
 ORACLE_SQL = None
@@ -19,22 +20,22 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents outside the importance resample go."""
-    found = importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
-    return found.filter("__kept").select(*docs.columns)
+    return importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True).filter("kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of equal texts the largest id stays."""
-    return exact_dedup.keep_first(docs, exact_dedup.temporary_index(spark)).select(*docs.columns)
+    return exact_dedup.keep_first(docs, exact_dedup.temporary_index(spark))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each near-duplicate class one row stays, of the least id; rows are known by id and text."""
-    found = stage(near_dup.near_duplicates(docs, keyed=True).select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone"), "kept"), "rows")
-    keyed = docs.withColumn("__key", near_dup.text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone"))
-    gone = stage(found.filter("NOT kept").select("__id", "__gone").distinct(), "gone")
-    return keyed.join(sized(gone), same, "left_anti").select(*docs.columns)
+    found = near_dup.near_duplicates(docs, keyed=True).filter("NOT kept").select("doc_id", "key").distinct()
+    gone = stage(found, "gone")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    clear, doubtful = listed(wrapped(docs, F.col("doc_id").cast("long").alias("doc_id"), near_dup.text_key(text).alias("key")), gone, "doc_id", "key")
+    same = doubtful["doc_id"].eqNullSafe(gone["doc_id"]) & (doubtful["key"] == gone["key"])
+    return clear.select("row.*").union(doubtful.join(gone.hint("merge"), same, "left_anti").select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
