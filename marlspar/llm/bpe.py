@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, map_batches, narrow
-from .encoding import groups
+from .encoding import groups, unicode_blanks
 
 NONE = 1 << 20  # a rank above all
 WIDEST = 64  # pre-tokens of up to so many bytes run side by side
@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class BytePairs:
     def __init__(self, path: str, pattern: str, most: int = 300_000):
         self.ranks = load_ranks(path)
-        self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.pieces = regex.compile(unicode_blanks(pattern))
         self.most = most
         self.dtype = np.dtype("<u2" if max(self.ranks.values()) < 1 << 16 else "<u4")
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)

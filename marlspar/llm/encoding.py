@@ -40,6 +40,11 @@ def cut_at_spaces(text: str) -> list[str]:
     return out
 
 
+def unicode_blanks(pattern: str) -> str:
+    """pattern with the blanks that Unicode means, as the libraries' own engines read it."""
+    return pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+
+
 #: Pre-tokens of byte-level files, with the blanks that Unicode means.
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Pre-tokens of word files, which lower-case afterwards.
@@ -50,6 +55,11 @@ _WORD_PIECES = regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'
 MOST = 700_000
 
 
+def cuts_at_spaces(pattern: str) -> bool:
+    """Whether cut_at_spaces cuts only where this pattern does."""
+    return unicode_blanks(pattern) == _BYTE_PIECES.pattern
+
+
 class _Known(dict):
     """Values made on first use. make() says whether to keep one. When it holds more than `most`, it
     becomes the old generation, whose values move over as they are used."""

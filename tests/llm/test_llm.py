@@ -527,28 +527,40 @@ def test_segment_tree_against_plain_merging():
             assert model._side_by_side([piece, b"zz"], 1 << max(1, (n - 1).bit_length()))[0].tolist() == expected
 
 
-def test_token_counts(docs, empty):
+def own_pieces(text):
+    import regex
+
+    blanks = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    return regex.findall(blanks, text)
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, public_tokenizers.PATTERN + "|."])
+def test_token_counts(spark, docs, empty, pattern):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    scores = {t: -math.log(r + token_counts.SHIFT) for t, r in bpe.load_ranks(path).items()}
-    pieces = token_counts.trie_counts(path, public_tokenizers.PATTERN).pieces
+    ranks = bpe.load_ranks(path)
+    whole = Counter(p.encode() for r in docs.collect() for p in own_pieces(text_of(r.text)) if p.encode() in ranks)
+    scores = {t: math.log((1 + whole[t]) / (whole.total() + len(ranks))) for t in ranks}
+    fitted = token_counts.unigram_scores(docs, path, pattern)
+    assert all(fitted[r] == pytest.approx(scores[t]) for t, r in ranks.items())
 
     def count(piece):
         best = [(0.0, 0)]
         for end in range(1, len(piece) + 1):
-            best.append(max((best[a][0] + scores[piece[a:end]], -best[a][1] - 1) for a in range(max(0, end - 130), end) if piece[a:end] in scores))
+            best.append(max((best[a][0] + fitted[ranks[piece[a:end]]], -best[a][1] - 1) for a in range(max(0, end - 130), end) if piece[a:end] in ranks))
             best[-1] = (best[-1][0], -best[-1][1])
         return best[-1][1]
 
-    found = collected(token_counts.op9(docs))
+    found = collected(token_counts.count_tokens(docs, path, pattern))
     assert token_counts.op9(empty).count() == 0
     for i, text in by_id():
-        cut = Counter(pieces.findall(text))
+        cut = Counter(own_pieces(text))
         assert (found[i][0].n_pretokens, found[i][0].n_tokens) == (cut.total(), sum(n * count(p.encode()) for p, n in cut.items()))
 
 
 def test_trie_starts_anew():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    small, large = token_counts.TrieCounts(path, public_tokenizers.PATTERN, 5), token_counts.TrieCounts(path, public_tokenizers.PATTERN)
+    scores = -np.log(np.arange(60_000) + 3.0)
+    small, large = token_counts.TrieCounts(path, public_tokenizers.PATTERN, scores, 5), token_counts.TrieCounts(path, public_tokenizers.PATTERN, scores)
     assert [small.count_texts([t])[0] for t in (LONG, "the end", LONG)] == [large.count_texts([t])[0] for t in (LONG, "the end", LONG)]
 
 
