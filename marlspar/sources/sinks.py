@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import write_json
+from ..sidecars import write_json
 
 
 def write_bronze(events: DataFrame, root: str, version: str) -> str:
@@ -45,7 +45,7 @@ def write_report(report: DataFrame, path: str) -> None:
     rows = report.limit(2).collect()
     if len(rows) != 1:
         raise ValueError("a report is one row")
-    write_json(path, rows[0].asDict(recursive=True))
+    write_json(report.sparkSession, path, rows[0].asDict(recursive=True))
 
 
 def write_key_values(rows: DataFrame, put, batch: int = 1000) -> int:

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from marlspar.contracts import State, manifest_failures
+from marlspar import sidecars
+from marlspar.functions.templates import run_template
 from marlspar.operators import ingest, snapshots
 from marlspar.sources import raw, sinks
 from marlspar.streaming import ingest as stream
@@ -17,18 +18,30 @@ def events(spark, first, last):
     return spark.range(first, last).select(F.col("id").alias("timestamp"), (F.col("id") % 4).alias("user_id"), (F.col("id") % 7).alias("item_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("event_weight"), F.lit(None).cast("string").alias("transaction_id"))
 
 
-def test_state_round_trip(tmp_path):
-    path = tmp_path / "s" / "state.json"
-    assert State.load(path) == State()
-    State(123, "v1").dump(path)
-    assert State.load(path) == State(123, "v1") and [p.name for p in path.parent.iterdir()] == ["state.json"]
+def test_progress_is_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/s/state.json"
+    assert sidecars.read_progress(spark, path) == sidecars.Progress()
+    for reached in (sidecars.Progress(123, "v1"), sidecars.Progress(456, "v2")):
+        sidecars.write_progress(spark, path, reached)
+        assert sidecars.read_progress(spark, path) == reached
+    assert [p.name for p in (tmp_path / "s").iterdir() if not p.name.endswith(".crc")] == ["state.json"]
 
 
 def test_manifest():
     good = {"feature_version": "v", "watermark_ms": 1, "row_counts": {"user": 1}, "format": "parquet", "snapshot_type": "full"}
-    assert manifest_failures(good) == []
-    assert "incremental snapshot must identify parent_version" in manifest_failures(good | {"incremental": True})
-    assert len(manifest_failures({"row_counts": {"user": -1}})) == 6
+    assert sidecars.manifest_problems(good) == []
+    assert [x.split()[0] for x in sidecars.manifest_problems(good | {"incremental": True})] == ["parent_version"]
+    assert [x.split()[0] for x in sidecars.manifest_problems({"row_counts": {"user": -1}})] == list(sidecars.MANIFEST)
+    assert sidecars.manifest_problems(good | {"snapshot_type": "part", "row_counts": {"user": True}}) and not sidecars.manifest_problems(good | {"incremental": True, "parent_version": "u"})
+
+
+def test_templates(spark):
+    events = spark.createDataFrame([(1, 5), (1, 9), (2, 20)], "user_id long, timestamp long")
+    out = run_template("SELECT user_id, count(*) AS n FROM {source} WHERE timestamp <= :as_of_ms GROUP BY user_id", events, 9)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    for bad in ("SELECT 1", "SELECT * FROM {source}", "SELECT :as_of_ms"):
+        with pytest.raises(ValueError):
+            run_template(bad, events, 9)
 
 
 def test_headers(spark, tmp_path):
@@ -47,18 +60,18 @@ def test_snapshots_incremental_and_compacted(spark, tmp_path):
     root, state = tmp_path / "f", tmp_path / "state.json"
     full = snapshots.build(events(spark, 0, 60), str(root), str(state), version="a")
     delta = snapshots.build(events(spark, 0, 100), str(root), str(state), incremental=True, version="b")
-    assert full["snapshot_type"] == "full" and delta["parent_version"] == "a" and State.load(state).watermark_ms == 99
+    assert full["snapshot_type"] == "full" and delta["parent_version"] == "a" and sidecars.read_progress(spark, str(state)).watermark_ms == 99
     with pytest.raises(FileExistsError):
         snapshots.build(events(spark, 0, 60), str(root), str(state), version="a")
     made = snapshots.compact(spark, str(root), ["a", "b"], "c")
-    assert snapshots.validate(spark, str(root / "c"), made)["passed"] and snapshots.latest_validated(str(root)) == "c"
+    assert snapshots.validate(spark, str(root / "c"), made)["passed"] and snapshots.latest_validated(spark, str(root)) == "c"
     snapshots.validate(spark, str(root / "b"), delta)
     with pytest.raises(ValueError):
-        snapshots.activate(str(root), "b")
+        snapshots.activate(spark, str(root), "b")
     with pytest.raises(LookupError):
-        snapshots.active(str(root))
-    snapshots.activate(str(root), "c")
-    assert snapshots.active(str(root)) == "c"
+        snapshots.active(spark, str(root))
+    snapshots.activate(spark, str(root), "c")
+    assert snapshots.active(spark, str(root)) == "c"
     assert spark.read.parquet(str(root / "c/item_features")).agg(F.sum("event_count")).first()[0] == 100
 
 
