@@ -17,9 +17,10 @@ def pairs(history: DataFrame, who: str = "user_id") -> DataFrame:
 def neighbors(history: DataFrame, most: int = 100, who: str = "user_id") -> DataFrame:
     """(g, item_id, other, similarity, rank): cosine-normalised co-occurrence, both directions."""
     degree = history.groupBy("g", "item_id").agg(F.count("*").alias("users"))
-    left = degree.select("g", F.col("item_id").alias("left"), F.col("users").alias("left_users"))
-    right = degree.select("g", F.col("item_id").alias("right"), F.col("users").alias("right_users"))
-    scored = pairs(history, who).join(left, ["g", "left"]).join(right, ["g", "right"])
+    own = history.select("g", who, "item_id").join(degree, ["g", "item_id"])  # before the pairs, which then carry both degrees
+    left, right = (own.select("g", who, F.col("item_id").alias(x), F.col("users").alias(f"{x}_users")) for x in ("left", "right"))
+    met = left.join(right, ["g", who]).filter("left < right")
+    scored = met.groupBy("g", "left", "right", "left_users", "right_users").agg(F.count("*").alias("n"))
     scored = scored.withColumn("similarity", F.col("n") / F.sqrt(F.col("left_users") * F.col("right_users")))
     both = F.explode(F.array(F.struct(F.col("left").alias("item_id"), F.col("right").alias("other")), F.struct(F.col("right").alias("item_id"), F.col("left").alias("other"))))
     edges = scored.select("g", both.alias("e"), "similarity").select("g", "e.item_id", "e.other", "similarity")

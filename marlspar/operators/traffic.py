@@ -20,7 +20,7 @@ def request_counts(requests: DataFrame, key: str, ms: str, window_ms: int = WIND
 
 def admit(requests: DataFrame, key: str, ms: str, order: str, limit: int, window_ms: int = WINDOW_MS) -> DataFrame:
     """requests with admitted: refused ones don't count against the limit, which only a fold in time order
-    can tell. Each key keeps `limit` times at most; rows stream through in sorted partitions."""
+    can tell. Each key keeps `limit` times at most; rows stream through in sorted partitions. Null is a key like others."""
     schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,7 +29,7 @@ def admit(requests: DataFrame, key: str, ms: str, order: str, limit: int, window
         current, window = object(), deque()
         for frame in frames:
             out = []
-            for own, now in zip(frame[key], frame[ms], strict=True):
+            for own, now in zip(frame[key].astype(object).where(frame[key].notna(), None), frame[ms], strict=True):
                 if own != current:
                     current, window = own, deque()
                 while window and window[0] <= now - window_ms:

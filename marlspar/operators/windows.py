@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,20 +15,33 @@ from . import candidates, graph, history, profile
 MAX_HISTORY, NEIGHBORS, SESSION_GAP, SESSION_EVENTS = 50, 100, 30, 200
 
 
-def build_graph(events: DataFrame, categories: DataFrame, deepest: int, max_history: int = MAX_HISTORY) -> candidates.Graph:
-    """All item graphs of events (with g). deepest: how many popular items the top list keeps.
+class GraphOf:
+    """All item graphs of events (with g), each made and staged when it is first read, as every source of
+    candidates reads them again. deepest: how many popular items the top list keeps."""
 
-    Staged: every source of candidates reads them."""
-    popular = stage(history.popularity(events), "popularity")
-    capped = history.capped(history.fold(events), max_history)
-    return candidates.Graph(
-        neighbors=stage(graph.neighbors(capped, NEIGHBORS).select("g", "item_id", "other", "similarity", "rank"), "neighbors"),
-        transitions=stage(graph.transitions(events, SESSION_GAP, SESSION_EVENTS), "transitions"),
-        category_lists=stage(graph.category_lists(popular, categories), "lists"),
-        categories=categories,
-        popularity=popular,
-        top=stage(history.top_items(popular, deepest), "top"),
-    )
+    def __init__(self, events: DataFrame, categories: DataFrame, deepest: int, max_history: int = MAX_HISTORY):
+        self.events, self.categories, self.deepest, self.max_history = events, categories, deepest, max_history
+
+    @cached_property
+    def popularity(self) -> DataFrame:
+        return stage(history.popularity(self.events), "popularity")
+
+    @cached_property
+    def neighbors(self) -> DataFrame:
+        capped = history.capped(history.fold(self.events), self.max_history)
+        return stage(graph.neighbors(capped, NEIGHBORS).select("g", "item_id", "other", "similarity", "rank"), "neighbors")
+
+    @cached_property
+    def transitions(self) -> DataFrame:
+        return stage(graph.transitions(self.events, SESSION_GAP, SESSION_EVENTS), "transitions")
+
+    @cached_property
+    def category_lists(self) -> DataFrame:
+        return stage(graph.category_lists(self.popularity, self.categories), "lists")
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return stage(history.top_items(self.popularity, self.deepest), "top")
 
 
 @dataclass(frozen=True)
@@ -37,7 +51,7 @@ class Backtest:
     seen: DataFrame  # g, user_id, item_id, weight, timestamp
     relevant: DataFrame
     truth: DataFrame  # user_id, item_id
-    graph: candidates.Graph
+    graph: candidates.Graph | GraphOf
     contexts: DataFrame  # g, ctx (the user), at
     history: DataFrame
     context_seen: DataFrame
@@ -51,7 +65,7 @@ def backtest(events: DataFrame, categories: DataFrame, most: int = 100, warm_onl
     seen = stage(history.fold(past), "seen")
     relevant = history.relevant_rows(target, seen)
     truth = stage(history.truth(relevant, warm_only), "truth")
-    built = build_graph(past, categories, most + history.longest_seen(seen), max_history)
+    built = GraphOf(past, categories, most + history.longest_seen(seen), max_history)
     at = first_target_times(target, truth)
     contexts = stage(at, "contexts").select(F.lit(0).alias("g"), F.col("user_id").alias("ctx"), F.col("target_timestamp").alias("at"))
     own = seen.join(truth.select("user_id").distinct(), "user_id", "left_semi")
@@ -114,7 +128,7 @@ class Rolling:
     contexts: DataFrame
     history: DataFrame
     seen: DataFrame
-    graph: candidates.Graph
+    graph: candidates.Graph | GraphOf
 
 
 def rolling(events: DataFrame, categories: DataFrame, ratios: tuple[tuple[float, float], ...] = ((0.70, 1.0),), most: int = 100, max_history: int = MAX_HISTORY) -> Rolling:
@@ -130,7 +144,7 @@ def rolling(events: DataFrame, categories: DataFrame, ratios: tuple[tuple[float,
     folded = stage(point_in_time(seq, numbered), "folded")
     deepest = most + history.longest_seen(folded, "ctx")
     contexts = numbered.select("g", "ctx", F.col("timestamp").alias("at"))
-    return Rolling(numbered, contexts, stage(history.capped(folded, max_history, "ctx"), "history"), folded.select("g", "ctx", "item_id"), build_graph(early, categories, deepest, max_history))
+    return Rolling(numbered, contexts, stage(history.capped(folded, max_history, "ctx"), "history"), folded.select("g", "ctx", "item_id"), GraphOf(early, categories, deepest, max_history))
 
 
 def number(found: DataFrame) -> DataFrame:

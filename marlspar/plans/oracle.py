@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _M1 = """m1 AS (
   SELECT epoch_us(ts) // 1000 AS timestamp, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
          CASE event_type WHEN 'click' THEN 'addtocart' WHEN 'purchase' THEN 'transaction' ELSE event_type END AS event_type,
@@ -252,7 +254,9 @@ FROM (
 
 
 def _with(*parts: str, select: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    """Each part is computed once, however many others read it."""
+    named = re.sub(r"\b(\w+) AS \((\s*SELECT)", r"\1 AS MATERIALIZED (\2", ",\n".join(parts))
+    return "WITH " + named + "\n" + select
 
 
 _BACK = (_M1, _CATEGORIES, _SPLIT, _BACKTEST, _GRAPH, _SOURCES)
@@ -361,6 +365,15 @@ SELECT item_id, v AS category_id, timestamp AS source_timestamp FROM (SELECT *,
 FROM (SELECT count(*) AS n, avg(v) AS m, stddev_samp(v) AS s FROM (SELECT event_type, max(value) AS v FROM events GROUP BY event_type))""",
     "latency_histogram": " UNION ALL ".join(f"SELECT event_type, '{b}' AS le, count(*) FILTER (value <= {b} * 1000::DOUBLE) AS n FROM events GROUP BY event_type" for b in (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)) + " UNION ALL SELECT event_type, '+Inf', count(*) FROM events GROUP BY event_type",
     "request_counts": "SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS in_window FROM events",
+    "rate_limit": """WITH RECURSIVE placed AS MATERIALIZED (
+  SELECT event_id, user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nth,
+         1 + count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND 3599999 FOLLOWING) AS following
+  FROM (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events)
+), admitted AS (
+  SELECT user_id, nth, following FROM placed WHERE nth = 1
+  UNION ALL SELECT p.user_id, p.nth, p.following FROM admitted a JOIN placed p ON p.user_id IS NOT DISTINCT FROM a.user_id AND p.nth = a.following
+)
+SELECT p.event_id, p.user_id, p.ms, a.nth IS NOT NULL AS admitted FROM placed p LEFT JOIN admitted a ON a.user_id IS NOT DISTINCT FROM p.user_id AND a.nth = p.nth""",
     "metric_flatten": """SELECT unnest(['events.rows', 'events.users', 'metrics.at_10.mean']) AS metric, unnest([CAST(n AS DOUBLE), CAST(u AS DOUBLE), m]) AS value FROM (SELECT count(*) AS n, count(DISTINCT user_id) AS u, round(avg(value), 8) AS m FROM events)""",
     "embedding_interaction": """WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS mean FROM e GROUP BY label, i)
 SELECT vec_id, round(sum(x * mean), 6) AS product_sum, round(sum(abs(x - mean)), 6) AS difference_sum FROM e JOIN m USING (label, i) GROUP BY vec_id""",

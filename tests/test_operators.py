@@ -198,6 +198,11 @@ def test_rate_limit_ignores_refused(spark):
     assert rows(traffic.admit(r, "k", "ms", "n", 2), "n", "admitted") == [(1, True), (2, True), (3, False), (4, True), (5, True)]
 
 
+def test_rate_limit_knows_null_as_a_key(spark):
+    r = spark.createDataFrame([(None, 0, 1), (None, 1, 2), (7, 1, 3), (None, 60_000, 4)], "k long, ms long, n int")
+    assert rows(traffic.admit(r, "k", "ms", "n", 1), "n", "admitted") == [(1, True), (2, False), (3, True), (4, True)]
+
+
 def test_gate_and_stop():
     assert rankers.promote(0.2, 0.22, 1) and not rankers.promote(0.2, 0.2004, 1) and not rankers.promote(0.2, 0.3, 0)
     assert rankers.early_stop([0.1, 0.2, 0.2, 0.2, 0.2, 0.9]) == 1
