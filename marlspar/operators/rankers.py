@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import linear, softplus
+from ..sidecars import read_json, write_json
+from ..storage import stage
+from . import metrics
 from .candidates import ENRICHED
 
-# Feature subsets of the ablation, by position among the enriched features.
+def _without(*names: str) -> tuple[str, ...]:
+    return tuple(x for x in ENRICHED if x not in names)
+
+
+_FLAGS = tuple(x for x in ENRICHED if x.startswith("from_"))
+# The feature subsets that the ablation compares.
 ABLATIONS = {
-    "linear_all_features": tuple(range(13)),
-    "without_category": tuple(i for i in range(13) if i != 7),
-    "without_recency": tuple(i for i in range(13) if i != 5),
-    "without_max_similarity": tuple(i for i in range(13) if i != 6),
-    "without_source_flags": tuple(range(9)),
-    "retrieval_core": (0, 1, 2, 3, 4, 8),
-    "hybrid_features": (8, 9, 10, 11, 12),
+    "linear_all_features": ENRICHED,
+    "without_category": _without("category_share"),
+    "without_recency": _without("recency_share"),
+    "without_max_similarity": _without("max_similarity"),
+    "without_source_flags": _without(*_FLAGS),
+    "retrieval_core": ("score_share", "log_popularity", "reciprocal_rank", "source_share", "history_size", "rrf_share"),
+    "hybrid_features": ("rrf_share", *_FLAGS),
 }
 
 
@@ -61,13 +71,57 @@ def difference_rows(pairs: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(signed)
 
 
-def fit_linear(pairs: DataFrame, subset: tuple[int, ...] = ABLATIONS["without_source_flags"], ridge: float = 1e-3) -> dict[str, float]:
-    """Weights of the linear correction of the retrieval prior, by weighted logistic regression with offset."""
+def fit_linear(pairs: DataFrame, features: tuple[str, ...] = ABLATIONS["without_source_flags"], ridge: float = 1e-3, steps: int = 50, rows: DataFrame | None = None) -> dict[str, float]:
+    """Weights of the linear correction of the retrieval prior after so many steps, by weighted logistic
+    regression with offset. rows: difference_rows of the pairs, if they are there."""
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    features = [ENRICHED[i] for i in subset]
-    model = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False, offsetCol="prior", weightCol="weight", regParam=ridge, maxIter=50)
-    return dict(zip(features, model.fit(difference_rows(pairs, features)).coefficients.toArray().tolist(), strict=True))
+    rows = difference_rows(pairs, list(features)) if rows is None else rows
+    model = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False, offsetCol="prior", weightCol="weight", regParam=ridge, maxIter=steps)
+    return dict(zip(features, model.fit(rows).coefficients.toArray().tolist(), strict=True))
+
+
+@dataclass(frozen=True)
+class Trained:
+    """weights of the best epoch (none if that is the prior), and the validation value of each epoch from 0, the prior."""
+
+    weights: dict[str, float]
+    best_epoch: int
+    values: list[float]
+
+
+def prior_order() -> list[Column]:
+    return [F.desc("rrf_share"), F.desc("reciprocal_rank"), F.col("candidate_item_id")]
+
+
+def train(pairs: DataFrame, judged: DataFrame, features: tuple[str, ...] = ABLATIONS["without_source_flags"], epochs: int = 10, patience: int = 3, k: int = 10) -> Trained:
+    """Fit step by step; after each, NDCG at k of the validation groups `judged`. Stops after `patience` steps
+    without a gain; the best epoch counts, which is 0 where nothing beats the prior."""
+    value = lambda order, rows: metrics.group_metrics(rows, order, [k]).first()["ndcg"]
+    rows = stage(difference_rows(pairs, list(features)), "differences")
+    values, fits = [value(prior_order(), judged)], [{}]
+    while len(values) <= epochs and len(values) - 1 - early_stop(values, patience) < patience:
+        fits.append(fit_linear(pairs, features, steps=len(values), rows=rows))
+        values.append(value([F.desc("score"), F.col("candidate_item_id")], judged.withColumn("score", F.round(corrected(fits[-1]), 8))))
+    best = early_stop(values, patience)
+    return Trained(fits[best], best, values)
+
+
+def ablate(pairs: DataFrame, judged: DataFrame, subsets: dict[str, tuple[str, ...]] | None = None, epochs: int = 10, patience: int = 2, k: int = 10) -> tuple[str, dict[str, Trained]]:
+    """(name of the best subset, the first of equal ones; all of them trained)"""
+    made = {name: train(pairs, judged, own, epochs, patience, k) for name, own in (subsets or ABLATIONS).items()}
+    return choose({name: x.values[x.best_epoch] for name, x in made.items()}), made
+
+
+def save(spark: SparkSession, path: str, ranker: Trained) -> None:
+    write_json(spark, path, vars(ranker))
+
+
+def load(spark: SparkSession, path: str) -> Trained:
+    found = read_json(spark, path)
+    if found is None:
+        raise LookupError(f"no ranker at {path}")
+    return Trained(**found)
 
 
 def corrected(weights: dict[str, float]) -> Column:

@@ -405,23 +405,17 @@ def _judged(rows: DataFrame) -> DataFrame:
     return rows.join(found, "example_id", "left_semi")
 
 
-def _prior_order():
-    return [F.desc("rrf_share"), F.desc("reciprocal_rank"), F.col("candidate_item_id")]
-
-
 def metrics_prior_ranker(spark, d):
-    return metrics.group_metrics(stage(_judged(stage(rolling_examples(spark, d), "examples")), "judged"), _prior_order(), KS)
+    return metrics.group_metrics(stage(_judged(stage(rolling_examples(spark, d), "examples")), "judged"), rankers.prior_order(), KS)
 
 
 def promotion_gate(spark, d):
     """A linear pairwise ranker against the prior on validation groups, and whether it would be served."""
     rows = stage(rolling_examples(spark, d), "examples")
-    weights = rankers.fit_linear(examples.pair_rows(rows.filter("split = 'train'")))
     judged = stage(_judged(rows), "judged")
-    old = metrics.group_metrics(judged, _prior_order(), [10]).first()["ndcg"]
-    scored = judged.withColumn("score", F.round(rankers.corrected(weights), 8))
-    new = metrics.group_metrics(scored, [F.desc("score"), F.col("candidate_item_id")], [10]).first()["ndcg"]
-    return spark.createDataFrame([(old, new, rankers.promote(old, new, 1))], "prior_ndcg double, ranker_ndcg double, promoted boolean")
+    made = rankers.train(examples.pair_rows(rows.filter("split = 'train'")), judged)
+    old, new = made.values[0], made.values[made.best_epoch]
+    return spark.createDataFrame([(old, new, made.best_epoch, rankers.promote(old, new, made.best_epoch))], "prior_ndcg double, ranker_ndcg double, best_epoch int, promoted boolean")
 
 
 # serving

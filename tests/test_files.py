@@ -89,6 +89,32 @@ def test_edges_and_splits(spark, tmp_path):
     assert json.loads(report.read_text()) == {"n": 2}
 
 
+def test_key_values_and_examples(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", f"v{i}") for i in range(25)], "key string, value string").repartition(3)
+    folder = str(tmp_path / "sent")
+
+    def put(pairs):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.writelines(f"{k}={v}\n" for k, v in pairs)
+
+    assert sinks.write_key_values(rows, put, batch=4) == 25
+    sent = [x for f in (tmp_path / "sent").iterdir() for x in f.read_text().split()]
+    assert sorted(sent) == sorted(f"k{i}=v{i}" for i in range(25))
+    examples = spark.createDataFrame([(2, "1 2", 0.5), (1, "3", 0.25)], "example_id long, history string, score double")
+    sinks.write_examples(examples, str(tmp_path / "x"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "x")).orderBy("example_id").collect()] == [("1", "3", "0.25000000"), ("2", "1 2", "0.50000000")]
+
+
+def test_sessions(spark):
+    e = spark.createDataFrame([(7, 0), (7, 1_799_000), (7, 5_000_000), (8, 0)], "user_id long, timestamp long")
+    found = sorted((r.user_id, r.events) for r in stream.sessions(e).collect())
+    assert found == [(7, 1), (7, 2), (8, 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     both = spark.createDataFrame([(1_700_000_000_000 + t % 50 * 1000, t % 3, "view", t % 5, None) for t in range(120)], "timestamp long, visitorid long, event string, itemid long, transactionid string")
     source = str(tmp_path / "raw")

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from marlspar.functions import vectors
 from marlspar.operators import candidates, examples, features, graph, history, ingest, metrics, profile, quality, rankers, serving, traffic, windows
 
 EVENTS = "timestamp long, user_id long, item_id long, event_type string, event_weight double, transaction_id string"
@@ -203,6 +204,39 @@ def test_rate_limit_knows_null_as_a_key(spark):
     assert rows(traffic.admit(r, "k", "ms", "n", 1), "n", "admitted") == [(1, True), (2, False), (3, True), (4, True)]
 
 
+def test_training_by_epochs_ablation_and_saved_rankers(spark, tmp_path):
+    made = []
+    for e in range(40):  # the prior ranks the positive second; one feature tells it apart
+        for i, (label, rrf, flag) in enumerate([(0, 1.0, 0.0), (1, 0.9, 1.0), (0, 0.1, float(e % 2))]):
+            f = dict.fromkeys(candidates.ENRICHED, 0.0) | {"rrf_share": rrf, "reciprocal_rank": 1 / (i + 1), "max_similarity": flag}
+            made.append((e, i, label, label, *f.values()))
+    table = spark.createDataFrame(made, "example_id long, candidate_item_id long, label int, retrieved_positive int, " + ", ".join(f"{x} double" for x in candidates.ENRICHED))
+    pairs = examples.pair_rows(table)
+    name, all_of = rankers.ablate(pairs, table, {"blind": ("log_popularity", "category_share"), "seeing": ("max_similarity",)}, epochs=3)
+    best = all_of["seeing"]
+    assert name == "seeing" and best.best_epoch >= 1 and best.values[best.best_epoch] == 1.0 > best.values[0] and best.weights["max_similarity"] > 0
+    assert all_of["blind"].best_epoch == 0 and all_of["blind"].weights == {}
+    path = f"file://{tmp_path}/rankers/best.json"
+    rankers.save(spark, path, best)
+    assert rankers.load(spark, path) == best
+    with pytest.raises(LookupError):
+        rankers.load(spark, f"file://{tmp_path}/none.json")
+    assert rankers.ABLATIONS["without_source_flags"] == candidates.ENRICHED[:9] and len(rankers.ABLATIONS["without_category"]) == 12
+
+
+def test_vectors_and_types_and_keys(spark):
+    one = spark.range(1)
+    vector = lambda *x: F.array(*map(F.lit, x))
+    r = one.select(vectors.pad(vector(5, 6, 7), 2).alias("cut"), vectors.pad(vector(5), 3).alias("padded"), vectors.mean_pool(F.array(vector(1.0, 2.0), vector(3.0, 6.0)), 2).alias("mean"),
+                   vectors.mean_pool(F.array().cast("array<array<double>>"), 2).alias("none"), vectors.interaction_input(vector(1.0, 2.0), vector(3.0, 1.0), vector(9.0)).alias("all")).first()
+    assert (r["cut"], r.padded, r["mean"], r.none, r["all"]) == ([5, 6], [5, 0, 0], [2.0, 4.0], [0.0, 0.0], [1.0, 2.0, 3.0, 1.0, 3.0, 2.0, 2.0, 1.0, 9.0])
+    assert profile.require_known_types(events(spark, [(1, 1, 1, "view")])).count() == 1
+    for bad in ("swipe", None):
+        with pytest.raises(Exception, match="unknown event type"):
+            profile.require_known_types(events(spark, [(1, 1, 1, bad)])).collect()
+    assert serving.result_key("v", "hybrid", None, 7, 10) == "v:hybrid:none:7:10"
+
+
 def test_gate_and_stop():
     assert rankers.promote(0.2, 0.22, 1) and not rankers.promote(0.2, 0.2004, 1) and not rankers.promote(0.2, 0.3, 0)
     assert rankers.early_stop([0.1, 0.2, 0.2, 0.2, 0.2, 0.9]) == 1
