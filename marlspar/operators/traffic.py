@@ -42,9 +42,9 @@ def admit(requests: DataFrame, key: str, ms: str, order: str, limit: int, window
     return requests.repartition(key).sortWithinPartitions(key, ms, order).mapInPandas(replay, schema)
 
 
-def flatten_metrics(reports: DataFrame, column: str, most: int = 1000) -> DataFrame:
+def flatten_metrics(reports: DataFrame, column: str, most: int | None = None) -> DataFrame:
     """(metric, value) of every number in a nested struct column of one report, names joined by dots, @ as
-    at_; flags and texts are left out. The shape comes from the schema, so it is one projection."""
+    at_; flags and texts are left out. The shape comes from the schema, so it is one projection. most: leave the metrics behind the first so many out; all by default."""
 
     def walk(kind: T.StructType, path: list[str]) -> list[tuple[list[str], T.DataType]]:
         found = []

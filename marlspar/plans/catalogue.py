@@ -167,9 +167,7 @@ def _past(spark, d):
 
 
 def popularity(spark, d):
-    popular = history.popularity(_past(spark, d))
-    items = history.top_items(popular, popular.count()).select(F.posexplode(F.arrays_zip("items", "scores")).alias("at", "x"))
-    return items.select(F.col("x.items").alias("item_id"), F.col("x.scores").alias("score"), (F.col("at") + 1).alias("rank"))
+    return history.ranked(history.popularity(_past(spark, d))).select("item_id", "score", "rank")
 
 
 def _popular_lists(spark, d, most=20, warm_only=False):
