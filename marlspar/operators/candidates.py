@@ -19,6 +19,8 @@ from ..storage import stage
 
 SOURCES = tuple(FUSION)
 SESSION_ITEMS, CATEGORIES = 10, 5
+#: Contexts that have seen more items than this find their popular items by ranks instead of arrays.
+LISTED = 1000
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,8 @@ class Graph:
     category_lists: DataFrame
     categories: DataFrame
     popularity: DataFrame
-    top: DataFrame  # (g, items, scores), deep enough for every context
+    top: DataFrame  # (g, items, scores), LISTED + the wanted number deep
+    ranks: DataFrame | None = None  # (g, item_id, rank) of all popular items; None if no context has seen more than LISTED
 
 
 def expand(history: DataFrame, edges: DataFrame, score: str, seen: DataFrame) -> DataFrame:
@@ -79,13 +82,35 @@ def category_source(history: DataFrame, seen: DataFrame, graph: Graph, most: int
     return out.select("g", "ctx", "item_id", F.lit("category_popularity").alias("source"), "rank")
 
 
-def popular_source(contexts: DataFrame, seen: DataFrame, graph: Graph, most: int = 100) -> DataFrame:
-    """The first popular items that a context hasn't seen: a set difference of two bounded arrays."""
-    own = contexts.select("g", "ctx").join(seen.groupBy("g", "ctx").agg(F.collect_list("item_id").alias("own")), ["g", "ctx"], "left")
-    own = own.join(F.broadcast(graph.top.select("g", "items")), "g")  # a row a graph
+def popular_source(contexts: DataFrame, seen: DataFrame, graph: Graph, most: int = 100, listed: int = LISTED) -> DataFrame:
+    """The first popular items that a context hasn't seen. Contexts that have seen `listed` items at most take
+    the difference of two bounded arrays, the others go by ranks (popular_by_rank)."""
+    wanted = contexts.select("g", "ctx")
+    if graph.ranks is not None:
+        many = stage(seen.groupBy("g", "ctx").agg(F.count("*").alias("n_seen")).filter(F.col("n_seen") > listed).select("g", "ctx"), "many")
+        deep = popular_by_rank(wanted.join(many, ["g", "ctx"], "left_semi"), seen.join(many, ["g", "ctx"], "left_semi"), graph.ranks, most)
+        wanted, seen = (x.join(many, ["g", "ctx"], "left_anti") for x in (wanted, seen))
+    own = wanted.join(seen.groupBy("g", "ctx").agg(F.collect_list("item_id").alias("own")), ["g", "ctx"], "left")
+    own = own.join(F.broadcast(graph.top.select("g", "items")), "g")  # a row a graph, of bounded length
     left = F.slice(F.array_except("items", F.coalesce("own", F.array().cast("array<bigint>"))), 1, most)
-    out = own.select("g", "ctx", F.posexplode(left).alias("nth", "item_id"))
-    return out.select("g", "ctx", "item_id", F.lit("global_popularity").alias("source"), (F.col("nth") + 1).alias("rank"))
+    out = own.select("g", "ctx", F.posexplode(left).alias("nth", "item_id")).withColumn("rank", F.col("nth") + 1)
+    if graph.ranks is not None:
+        out = out.select("g", "ctx", "item_id", "rank").unionByName(deep)
+    return out.select("g", "ctx", "item_id", F.lit("global_popularity").alias("source"), "rank")
+
+
+def popular_by_rank(contexts: DataFrame, seen: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
+    """(g, ctx, item_id, rank): the first popular items unseen, whatever the length of the seen list. The ranks
+    of seen items leave gaps; the gaps' first `most` ranks are looked up. A context is sorted, never gathered."""
+    known = seen.select("g", "ctx", "item_id").distinct().join(ranks.select("g", "item_id", "rank"), ["g", "item_id"]).select("g", "ctx", "rank")
+    marks = known.unionByName(contexts.select("g", "ctx", F.lit(0).cast(ranks.schema["rank"].dataType).alias("rank")))
+    order = Window.partitionBy("g", "ctx").orderBy("mark")
+    before = F.col("mark") - F.row_number().over(order) + 1  # unseen items above the mark
+    gaps = marks.withColumnRenamed("rank", "mark").withColumns({"before": before, "next": F.lead("mark").over(order)}).filter(F.col("before") < most)
+    start, end = F.col("mark") + 1, F.least(F.col("next") - 1, F.col("mark") + most - F.col("before"))  # least passes over nulls
+    free = F.explode(F.when(start <= end, F.sequence(start, end, F.lit(1).cast("long"))))
+    found = gaps.select("g", "ctx", "mark", "before", free.alias("place")).select("g", "ctx", "place", (F.col("before") + F.col("place") - F.col("mark")).cast("int").alias("nth"))
+    return found.join(ranks.select("g", "item_id", F.col("rank").alias("place")), ["g", "place"]).select("g", "ctx", "item_id", F.col("nth").alias("rank"))
 
 
 def sources(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100) -> DataFrame:

@@ -40,19 +40,18 @@ def top_items(popular: DataFrame, most: int) -> DataFrame:
 
 
 def ranked(popular: DataFrame) -> DataFrame:
-    """popular with rank from 1 by (score descending, item), numbered part by part of a range partitioning, so
-    that no task holds the whole catalogue."""
+    """popular with rank (long) from 1 in each graph by (score descending, item), numbered part by part of a
+    range partitioning, so that no task holds the whole catalogue."""
     order = F.desc("score"), F.col("item_id")
-    parts = stage(popular.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    bases = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return parts.join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + own).drop("part", "base")
+    parts = stage(popular.repartitionByRange("g", *order).withColumn("part", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    bases = parts.groupBy("g", "part").agg(F.count("*").alias("n")).select("g", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("g", "part").orderBy(*order))
+    return parts.join(F.broadcast(bases), ["g", "part"]).withColumn("rank", F.col("base") + own).drop("part", "base")
 
 
 def longest_seen(seen: DataFrame, who: str = "user_id") -> int:
-    """The largest number of items that one `who` has seen: a scalar that bounds how far down the popular
-    items anyone must look."""
+    """The largest number of items that one `who` has seen."""
     return seen.groupBy("g", who).count().agg(F.max("count")).first()[0] or 0
 
 

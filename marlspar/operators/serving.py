@@ -117,3 +117,22 @@ def key_values(table: DataFrame, version: str, entity: str, keys: list[str]) ->
 def result_key(version: str, mode: str, model: str | None, user_id: int, count: int) -> str:
     """What a cached result is stored under: all that it depends on."""
     return f"{version}:{mode}:{model or 'none'}:{user_id}:{count}"
+
+
+def _result_key(version: str, mode: str, model: str | None, count: int) -> Column:
+    """result_key of every row."""
+    return F.concat_ws(":", F.lit(version), F.lit(mode), F.lit(model or "none"), F.col("user_id").cast("string"), F.lit(str(count)))
+
+
+def cached_results(lists: DataFrame, version: str, mode: str, model: str | None, count: int, at: int, ttl: int = 300_000) -> DataFrame:
+    """(key, user_id, value, expires): each user's served list as JSON, in order, under what it depends on.
+    lists: (user_id, item_id, rank); at and ttl in milliseconds."""
+    rows = lists.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("list"))
+    return rows.select(_result_key(version, mode, model, count).alias("key"), "user_id", F.to_json("list").alias("value"), F.lit(at + ttl).cast("long").alias("expires"))
+
+
+def look_up(requests: DataFrame, cache: DataFrame, version: str, mode: str, model: str | None, count: int, at: int) -> DataFrame:
+    """(user_id, value) of distinct requested users; value is null where nothing valid is kept: those are to be
+    computed. Of several entries of one key the last to expire counts."""
+    valid = cache.filter(F.col("expires") > at).groupBy("key").agg(F.max_by("value", "expires").alias("value"))
+    return requests.select("user_id").distinct().withColumn("key", _result_key(version, mode, model, count)).join(valid, "key", "left").select("user_id", "value")

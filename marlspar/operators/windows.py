@@ -17,10 +17,10 @@ MAX_HISTORY, NEIGHBORS, SESSION_GAP, SESSION_EVENTS = 50, 100, 30, 200
 
 class GraphOf:
     """All item graphs of events (with g), each made and staged when it is first read, as every source of
-    candidates reads them again. deepest: how many popular items the top list keeps."""
+    candidates reads them again. most: the length of the lists; longest: how many items a context has seen at most."""
 
-    def __init__(self, events: DataFrame, categories: DataFrame, deepest: int, max_history: int = MAX_HISTORY):
-        self.events, self.categories, self.deepest, self.max_history = events, categories, deepest, max_history
+    def __init__(self, events: DataFrame, categories: DataFrame, most: int, longest: int, max_history: int = MAX_HISTORY):
+        self.events, self.categories, self.most, self.longest, self.max_history = events, categories, most, longest, max_history
 
     @cached_property
     def popularity(self) -> DataFrame:
@@ -41,7 +41,14 @@ class GraphOf:
 
     @cached_property
     def top(self) -> DataFrame:
-        return stage(history.top_items(self.popularity, self.deepest), "top")
+        return stage(history.top_items(self.popularity, self.most + candidates.LISTED), "top")
+
+    @cached_property
+    def ranks(self) -> DataFrame | None:
+        """None where no context can have seen more than LISTED items, a list of candidates included."""
+        if self.longest + self.most <= candidates.LISTED:
+            return None
+        return stage(history.ranked(self.popularity).select("g", "item_id", "rank"), "ranks")
 
 
 @dataclass(frozen=True)
@@ -65,7 +72,7 @@ def backtest(events: DataFrame, categories: DataFrame, most: int = 100, warm_onl
     seen = stage(history.fold(past), "seen")
     relevant = history.relevant_rows(target, seen)
     truth = stage(history.truth(relevant, warm_only), "truth")
-    built = GraphOf(past, categories, most + history.longest_seen(seen), max_history)
+    built = GraphOf(past, categories, most, history.longest_seen(seen), max_history)
     at = first_target_times(target, truth)
     contexts = stage(at, "contexts").select(F.lit(0).alias("g"), F.col("user_id").alias("ctx"), F.col("target_timestamp").alias("at"))
     own = seen.join(truth.select("user_id").distinct(), "user_id", "left_semi")
@@ -142,9 +149,9 @@ def rolling(events: DataFrame, categories: DataFrame, ratios: tuple[tuple[float,
     early = stage(events.join(F.broadcast(table.select("g", "start")), F.col("timestamp") < F.col("start")).drop("start"), "early")
     numbered = stage(number(targets(seq, table)), "targets")
     folded = stage(point_in_time(seq, numbered), "folded")
-    deepest = most + history.longest_seen(folded, "ctx")
+    longest = history.longest_seen(folded, "ctx")
     contexts = numbered.select("g", "ctx", F.col("timestamp").alias("at"))
-    return Rolling(numbered, contexts, stage(history.capped(folded, max_history, "ctx"), "history"), folded.select("g", "ctx", "item_id"), GraphOf(early, categories, deepest, max_history))
+    return Rolling(numbered, contexts, stage(history.capped(folded, max_history, "ctx"), "history"), folded.select("g", "ctx", "item_id"), GraphOf(early, categories, most, longest, max_history))
 
 
 def number(found: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,34 @@ def test_popular_source_skips_seen(spark):
     assert rows(candidates.popular_source(c, seen, small_graph(spark), 2), "rank", "item_id") == [(1, 40), (2, 20)]
 
 
+def test_popular_source_by_ranks(spark):
+    """Arrays and ranks give the same lists, for contexts that have seen anything from nothing to everything."""
+    chance = random.Random(3)
+    popular = spark.createDataFrame([(g, i, float(chance.randrange(5))) for g in (0, 1) for i in range(60)], "g int, item_id long, score double")
+    some = {(g, c): chance.sample(range(70), 5 * c if c < 12 else 70) for g in (0, 1) for c in range(13)}
+    some[0, 13] = list(range(30))
+    contexts = spark.createDataFrame([(*k, 9) for k in some], "g int, ctx long, at long")
+    seen = spark.createDataFrame([(*k, i) for k, items in some.items() for i in items + items[:2]], "g int, ctx long, item_id long")
+    top, ranks = history.top_items(popular, 100), history.ranked(popular)
+    assert ranks.filter("g = 1").agg({"rank": "max"}).first()[0] == 60
+    parts = {k: None for k in ("neighbors", "transitions", "category_lists", "categories", "popularity")}
+    names = ("g", "ctx", "rank", "item_id")
+    lists = rows(candidates.popular_source(contexts, seen, candidates.Graph(**parts, top=top), 7), *names)
+    assert lists and len({x[:2] for x in lists}) < len(some)
+    for listed in (0, 20, 1000):
+        assert rows(candidates.popular_source(contexts, seen, candidates.Graph(**parts, top=top, ranks=ranks), 7, listed), *names) == lists
+
+
+def test_result_cache(spark):
+    lists = spark.createDataFrame([(1, 20, 2), (1, 10, 1), (2, 30, 1)], "user_id long, item_id long, rank int")
+    kept = serving.cached_results(lists, "v1", "hybrid", None, 10, 1_000)
+    assert {r.key for r in kept.collect()} == {serving.result_key("v1", "hybrid", None, u, 10) for u in (1, 2)}
+    asked = spark.createDataFrame([(1,), (1,), (3,)], "user_id long")
+    look = lambda *x: dict(rows(serving.look_up(asked, kept, *x), "user_id", "value"))
+    assert look("v1", "hybrid", None, 10, 2_000) == {1: '[{"rank":1,"item_id":10},{"rank":2,"item_id":20}]', 3: None}
+    assert look("v1", "hybrid", None, 10, 301_000) == look("v2", "hybrid", None, 10, 2_000) == look("v1", "hybrid", None, 5, 2_000) == {1: None, 3: None}
+
+
 def test_ranking_metrics(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (1, 30, 3)], "ctx long, item_id long, rank int")
     truth = spark.createDataFrame([(1, 20), (1, 30)], "ctx long, item_id long")
