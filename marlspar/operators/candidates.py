@@ -1,8 +1,8 @@
 """Candidate sources, fusion and features, for any set of contexts.
 
 A context is whoever needs a list: a user in a backtest, an example in training. `history` has the rows
-(g, ctx, item_id, weight, timestamp, position), `seen` (g, ctx, item_id), `contexts` (g, ctx, at): one row
-a context with its prediction time. Scores are rounded to 8 decimals before they rank, so that the order
+(g, ctx, item_id, weight, timestamp, position), `contexts` (g, ctx, at): one row a context with its prediction
+time. `seen` has the rows (g, ctx, item_id), or is a Before, where contexts of one user would repeat them. Scores are rounded to 8 decimals before they rank, so that the order
 of summation doesn't show.
 """
 
@@ -36,11 +36,43 @@ class Graph:
     ranks: DataFrame | None = None  # (g, item_id, rank) of all popular items; None if no context has seen more than LISTED
 
 
-def expand(history: DataFrame, edges: DataFrame, score: str, seen: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Before:
+    """A context has seen what its user met first at a seq below `until`: a row a pair and a row a context
+    instead of a row for each item of each context."""
+
+    met: DataFrame  # (user_id, item_id, first_seq), a row a pair
+    contexts: DataFrame  # (g, ctx, user_id, until, n_seen)
+
+    def rows(self, items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+        """(g, ctx, item_id), of these items (g, item_id) or contexts (g, ctx) only."""
+        met = self.met if items is None else self.met.join(items, "item_id")
+        own = self.contexts if contexts is None else self.contexts.join(contexts, ["g", "ctx"], "left_semi")
+        return own.join(met, ["user_id"] if items is None else ["g", "user_id"]).filter("first_seq < until").select("g", "ctx", "item_id")
+
+
+def unseen(rows: DataFrame, seen: DataFrame | Before) -> DataFrame:
+    """Rows (g, ctx, item_id, ...) whose item the context hasn't seen."""
+    if isinstance(seen, DataFrame):
+        return rows.join(seen.select("g", "ctx", "item_id"), ["g", "ctx", "item_id"], "left_anti")
+    own = rows.join(seen.contexts.select("g", "ctx", "user_id", "until"), ["g", "ctx"]).join(seen.met, ["user_id", "item_id"], "left")
+    return own.filter("first_seq IS NULL OR first_seq >= until").select(*rows.columns)
+
+
+def seen_rows(seen: DataFrame | Before, items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """(g, ctx, item_id), of these items or contexts only."""
+    if isinstance(seen, Before):
+        return seen.rows(items, contexts)
+    out = seen.select("g", "ctx", "item_id")
+    out = out if items is None else out.join(items, ["g", "item_id"], "left_semi")
+    return out if contexts is None else out.join(contexts, ["g", "ctx"], "left_semi")
+
+
+def expand(history: DataFrame, edges: DataFrame, score: str, seen: DataFrame | Before) -> DataFrame:
     """(g, ctx, item_id, similarity, weight, timestamp, position): neighbours of history items that weren't seen."""
     own = edges.select("g", F.col("item_id").alias("source"), F.col("other"), F.col(score).alias("similarity"))
     out = history.withColumnRenamed("item_id", "source").join(own, ["g", "source"]).withColumnRenamed("other", "item_id")
-    return out.join(seen.select("g", "ctx", "item_id"), ["g", "ctx", "item_id"], "left_anti")
+    return unseen(out, seen)
 
 
 def _total(value: Column) -> Column:
@@ -57,40 +89,45 @@ def decayed(value: str = "similarity") -> Column:
     return strength(F.col("weight")) / (F.col("position") + 1) * F.col(value)
 
 
-def neighbor_source(history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100) -> DataFrame:
+def neighbor_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
     scored = expand(history, graph.neighbors, "similarity", seen).groupBy("g", "ctx", "item_id").agg(_total(decayed()).alias("score"))
     return _ranked(scored, most, "item_cooccurrence")
 
 
-def session_scores(history: DataFrame, seen: DataFrame, graph: Graph) -> DataFrame:
+def session_scores(history: DataFrame, seen: DataFrame | Before, graph: Graph) -> DataFrame:
     recent = history.filter(F.col("position") < SESSION_ITEMS)
     return expand(recent, graph.transitions, "transition_score", seen).groupBy("g", "ctx", "item_id").agg(_total(decayed()).alias("score"))
 
 
-def session_source(history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100) -> DataFrame:
+def session_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
     return _ranked(session_scores(history, seen, graph), most, "session_transition")
 
 
-def category_source(history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100) -> DataFrame:
+def category_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
     """Popular items of the five latest categories, newest category first."""
     known = history.join(graph.categories.select("item_id", "category_id"), "item_id")
     first = known.groupBy("g", "ctx", "category_id").agg(F.min("position").alias("at"))
     newest = first.withColumn("nth", F.row_number().over(Window.partitionBy("g", "ctx").orderBy("at"))).filter(F.col("nth") <= CATEGORIES)
-    items = newest.join(graph.category_lists, ["g", "category_id"]).join(seen.select("g", "ctx", "item_id"), ["g", "ctx", "item_id"], "left_anti")
+    items = unseen(newest.join(graph.category_lists, ["g", "category_id"]), seen)
     order = Window.partitionBy("g", "ctx").orderBy("nth", "category_rank")
     out = items.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return out.select("g", "ctx", "item_id", F.lit("category_popularity").alias("source"), "rank")
 
 
-def popular_source(contexts: DataFrame, seen: DataFrame, graph: Graph, most: int = 100, listed: int = LISTED) -> DataFrame:
-    """The first popular items that a context hasn't seen. Contexts that have seen `listed` items at most take
-    the difference of two bounded arrays, the others go by ranks (popular_by_rank)."""
-    wanted = contexts.select("g", "ctx")
+def popular_source(contexts: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, listed: int = LISTED, also: DataFrame | None = None) -> DataFrame:
+    """The first popular items that a context hasn't seen, nor has in `also` (g, ctx, item_id). Contexts that
+    have seen `listed` items of the top list at most take the difference of two bounded arrays, the others go by
+    ranks (popular_by_rank). Seen items off the list can't change the difference."""
+    wanted, more = contexts.select("g", "ctx"), lambda rows: rows if also is None else rows.unionByName(also)
+    top = F.broadcast(graph.top.select("g", F.explode("items").alias("item_id")))  # LISTED + the wanted number a graph
+    near = more(seen_rows(seen, top))
     if graph.ranks is not None:
-        many = stage(seen.groupBy("g", "ctx").agg(F.count("*").alias("n_seen")).filter(F.col("n_seen") > listed).select("g", "ctx"), "many")
-        deep = popular_by_rank(wanted.join(many, ["g", "ctx"], "left_semi"), seen.join(many, ["g", "ctx"], "left_semi"), graph.ranks, most)
-        wanted, seen = (x.join(many, ["g", "ctx"], "left_anti") for x in (wanted, seen))
-    own = wanted.join(seen.groupBy("g", "ctx").agg(F.collect_list("item_id").alias("own")), ["g", "ctx"], "left")
+        near = stage(near, "near")
+        many = stage(near.groupBy("g", "ctx").agg(F.count("*").alias("n_seen")).filter(F.col("n_seen") > listed).select("g", "ctx"), "many")
+        all_seen = more(seen_rows(seen, contexts=many)).join(many, ["g", "ctx"], "left_semi")
+        deep = popular_by_rank(wanted.join(many, ["g", "ctx"], "left_semi"), all_seen, graph.ranks, most)
+        wanted, near = (x.join(many, ["g", "ctx"], "left_anti") for x in (wanted, near))
+    own = wanted.join(near.groupBy("g", "ctx").agg(F.collect_list("item_id").alias("own")), ["g", "ctx"], "left")
     own = own.join(F.broadcast(graph.top.select("g", "items")), "g")  # a row a graph, of bounded length
     left = F.slice(F.array_except("items", F.coalesce("own", F.array().cast("array<bigint>"))), 1, most)
     out = own.select("g", "ctx", F.posexplode(left).alias("nth", "item_id")).withColumn("rank", F.col("nth") + 1)
@@ -113,7 +150,7 @@ def popular_by_rank(contexts: DataFrame, seen: DataFrame, ranks: DataFrame, most
     return found.join(ranks.select("g", "item_id", F.col("rank").alias("place")), ["g", "place"]).select("g", "ctx", "item_id", F.col("nth").alias("rank"))
 
 
-def sources(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100) -> DataFrame:
+def sources(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
     """(g, ctx, item_id, source, rank) of all four sources."""
     out = neighbor_source(history, seen, graph, most)
     for other in (session_source(history, seen, graph, most), category_source(history, seen, graph, most), popular_source(contexts, seen, graph, most)):
@@ -143,7 +180,7 @@ def contribution(fused: DataFrame) -> DataFrame:
     return by_ctx.groupBy("source").agg(F.sum("held").alias("fused_items"), F.count_if(F.col("held") > 0).alias("contexts"))
 
 
-def plain_scores(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph) -> DataFrame:
+def plain_scores(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph) -> DataFrame:
     """(g, ctx, item_id): undecayed and recency-weighted scores, number of sources, largest similarity."""
     at = contexts.select("g", "ctx", "at")
     found = expand(history, graph.neighbors, "similarity", seen).join(at, ["g", "ctx"])
@@ -154,21 +191,21 @@ def plain_scores(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph
     return stage(out, "scores")  # ranked, joined and reduced to its maxima by the callers
 
 
-def backfilled(contexts: DataFrame, scored: DataFrame, seen: DataFrame, graph: Graph, most: int) -> DataFrame:
+def backfilled(contexts: DataFrame, scored: DataFrame, seen: DataFrame | Before, graph: Graph, most: int) -> DataFrame:
     """(g, ctx, item_id, rank, tier): scored candidates first, then popular items, `most` in all."""
     order = Window.partitionBy("g", "ctx").orderBy(F.desc("score"), "item_id")
     first = scored.select("g", "ctx", "item_id", F.lit(0).alias("tier"), F.row_number().over(order).alias("nth")).filter(F.col("nth") <= most)
     first = stage(first, "first")
-    popular = popular_source(contexts, seen.select("g", "ctx", "item_id").unionByName(first.select("g", "ctx", "item_id")), graph, most)
+    popular = popular_source(contexts, seen, graph, most, also=first.select("g", "ctx", "item_id"))
     both = first.unionByName(popular.select("g", "ctx", "item_id", F.lit(1).alias("tier"), F.col("rank").alias("nth")))
     place = Window.partitionBy("g", "ctx").orderBy("tier", "nth")
     return stage(both.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).select("g", "ctx", "item_id", "rank", "tier"), "pool")
 
 
-def context_sizes(contexts: DataFrame, history: DataFrame, seen: DataFrame) -> DataFrame:
+def context_sizes(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before) -> DataFrame:
     """(g, ctx, n_history, n_seen)."""
     h = history.groupBy("g", "ctx").agg(F.count("*").alias("n_history"))
-    s = seen.groupBy("g", "ctx").agg(F.count("*").alias("n_seen"))
+    s = seen.contexts.select("g", "ctx", "n_seen") if isinstance(seen, Before) else seen.groupBy("g", "ctx").agg(F.count("*").alias("n_seen"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return contexts.select("g", "ctx").join(h, ["g", "ctx"], "left").join(s, ["g", "ctx"], "left").select("g", "ctx", zero("n_history"), zero("n_seen"))
 
@@ -192,7 +229,7 @@ def _with_category_share(rows: DataFrame, history: DataFrame, graph: Graph) -> D
     return own.withColumn("category_share", F.coalesce("category_share", F.lit(0.0))).drop("category_id")
 
 
-def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph, most: int, scored: DataFrame | None = None) -> DataFrame:
+def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int, scored: DataFrame | None = None) -> DataFrame:
     """The backfilled pool with its eight features. Scores are shares of the largest over everything scored,
     not over the pool alone."""
     scored = plain_scores(contexts, history, seen, graph) if scored is None else scored
@@ -207,12 +244,12 @@ def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame, grap
     )
 
 
-def first_features(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph, most: int) -> DataFrame:
+def first_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int) -> DataFrame:
     """The first generation: five of the features."""
     return base_features(contexts, history, seen, graph, most).select("g", "ctx", "item_id", "rank", *BASE[:5])
 
 
-def fallback_features(rows: DataFrame, contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph) -> DataFrame:
+def fallback_features(rows: DataFrame, contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph) -> DataFrame:
     """Rows (g, ctx, item_id, ...) with the eight features of an item outside the pool: popularity, history
     size and category only."""
     own = _with_category_share(_with_popularity(rows.join(context_sizes(contexts, history, seen), ["g", "ctx"]), graph), history, graph)
@@ -220,7 +257,7 @@ def fallback_features(rows: DataFrame, contexts: DataFrame, history: DataFrame,
     return own.select(*rows.columns, *(v.alias(k) for k, v in values.items()))
 
 
-def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame, graph: Graph, most: int = 100, fallback: str = "popularity") -> DataFrame:
+def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, fallback: str = "popularity") -> DataFrame:
     """The fused pool with thirteen features; (g, ctx, item_id, rank, ENRICHED...). Items outside the base pool
     get fallback features ("popularity") or zeros ("zeros")."""
     fused = stage(fuse(stage(sources(contexts, history, seen, graph, most), "sources"), most), "fused")

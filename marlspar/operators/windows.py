@@ -13,6 +13,8 @@ from ..storage import stage
 from . import candidates, graph, history, profile
 
 MAX_HISTORY, NEIGHBORS, SESSION_GAP, SESSION_EVENTS = 50, 100, 30, 200
+#: Events of a user that a point-in-time history reads one by one.
+BLOCK = 64
 
 
 class GraphOf:
@@ -120,11 +122,39 @@ def targets(seq: DataFrame, windows: DataFrame) -> DataFrame:
     return usable.join(F.broadcast(windows), inside).select("g", "user_id", "item_id", "timestamp", "seq")
 
 
-def point_in_time(seq: DataFrame, found: DataFrame) -> DataFrame:
-    """(g, ctx, user_id, item_id, weight, timestamp): what each target's user had met before it."""
-    own = found.select("g", "ctx", "user_id", F.col("seq").alias("target_seq"))
-    past = own.join(seq.select("user_id", "item_id", "event_weight", "timestamp", "seq"), "user_id").filter("seq < target_seq")
-    return past.groupBy("g", "ctx", "user_id", "item_id").agg(F.sum("event_weight").alias("weight"), F.max("timestamp").alias("timestamp"))
+def known(seq: DataFrame) -> DataFrame:
+    """seq's rows with first_seq (the user's first meeting with the item), total (the pair's weight up to the
+    row) and n_seen (how many items the user had met before it)."""
+    pair, own = Window.partitionBy("user_id", "item_id").orderBy("seq"), Window.partitionBy("user_id").orderBy("seq")
+    so_far, before = pair.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    met = seq.withColumns({"first_seq": F.first("seq").over(pair), "total": F.sum("event_weight").over(so_far)})
+    return met.withColumn("n_seen", F.count_if(F.col("seq") == F.col("first_seq")).over(before))
+
+
+def point_in_time(met: DataFrame, found: DataFrame, most: int = MAX_HISTORY, block: int = BLOCK) -> DataFrame:
+    """(g, ctx, user_id, item_id, weight, timestamp): what each target's user had met before it, the latest
+    `most` items by (time descending, item) at least. met has the columns of known().
+
+    A user's events are cut into blocks, and every second run of 2^k whole blocks keeps its latest `most` items.
+    The whole blocks before a target are one run for each bit of their number, so a target reads its own block
+    and `most` rows a bit, not all that its user ever met. Each item's last row wins; rows carry running totals,
+    so a row that a run leaves out takes no weight along."""
+    rows = met.select("user_id", "item_id", F.expr(f"(seq - 1) div {block}").alias("whole"), F.struct("seq", "timestamp", F.col("total").alias("weight")).alias("last"))
+    ends = F.floor(F.max("last.seq").over(Window.partitionBy("user_id")) / block).cast("long")
+    bits = "sequence(0, length(bin({0})) - 1)"
+    runs = F.expr(f"filter({bits.format('ends')}, k -> shiftright(whole, k) % 2 = 0 AND shiftleft(shiftright(whole, k) + 1, k) <= ends)")
+    spread = rows.withColumn("ends", ends).filter("whole < ends").select("user_id", "item_id", "whole", "last", F.explode(runs).alias("level"))
+    grouped = spread.groupBy("user_id", "level", F.expr("shiftright(whole, level)").alias("run"), "item_id").agg(F.max("last").alias("last"))
+    order = Window.partitionBy("user_id", "level", "run").orderBy(F.desc("last.timestamp"), "item_id")
+    kept = grouped.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")
+
+    wanted = found.select("g", "ctx", "user_id", F.col("seq").alias("until"), F.expr(f"(seq - 1) div {block}").alias("whole"))
+    near = wanted.join(rows, ["user_id", "whole"]).filter("last.seq < until")
+    level = F.explode(F.expr(f"filter({bits.format('whole')}, k -> shiftright(whole, k) % 2 = 1)")).alias("level")
+    far = wanted.select("g", "ctx", "user_id", "whole", level).withColumn("run", F.expr("shiftright(whole, level + 1) * 2")).join(kept, ["user_id", "level", "run"])
+    names = ("g", "ctx", "user_id", "item_id")
+    last = near.select(*names, "last").unionByName(far.select(*names, "last")).groupBy(*names).agg(F.max("last").alias("last"))
+    return last.select(*names, "last.weight", "last.timestamp")
 
 
 @dataclass(frozen=True)
@@ -134,7 +164,7 @@ class Rolling:
     found: DataFrame
     contexts: DataFrame
     history: DataFrame
-    seen: DataFrame
+    seen: candidates.Before
     graph: candidates.Graph | GraphOf
 
 
@@ -145,13 +175,15 @@ def rolling(events: DataFrame, categories: DataFrame, ratios: tuple[tuple[float,
     low, high = time_range(events)
     windows = [(g, cutoff(low, high, a), cutoff(low, high, b)) for g, (a, b) in enumerate(ratios)]
     table = spark.createDataFrame(windows, "g int, start long, end long")
-    seq = stage(sequenced(events), "sequence")
+    seq = stage(known(sequenced(events)), "sequence")
     early = stage(events.join(F.broadcast(table.select("g", "start")), F.col("timestamp") < F.col("start")).drop("start"), "early")
     numbered = stage(number(targets(seq, table)), "targets")
-    folded = stage(point_in_time(seq, numbered), "folded")
-    longest = history.longest_seen(folded, "ctx")
+    own = history.capped(point_in_time(seq, numbered, max_history), max_history, "ctx")
+    until = stage(numbered.join(seq.select("user_id", "seq", "n_seen"), ["user_id", "seq"]).select("g", "ctx", "user_id", F.col("seq").alias("until"), "n_seen"), "until")
+    seen = candidates.Before(seq.filter("seq = first_seq").select("user_id", "item_id", "first_seq"), until)
+    longest = until.agg(F.max("n_seen")).first()[0] or 0
     contexts = numbered.select("g", "ctx", F.col("timestamp").alias("at"))
-    return Rolling(numbered, contexts, stage(history.capped(folded, max_history, "ctx"), "history"), folded.select("g", "ctx", "item_id"), GraphOf(early, categories, most, longest, max_history))
+    return Rolling(numbered, contexts, stage(own, "history"), seen, GraphOf(early, categories, most, longest, max_history))
 
 
 def number(found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlspar.functions import vectors
 from marlspar.operators import candidates, examples, features, graph, history, ingest, metrics, profile, quality, rankers, serving, traffic, windows
+from marlspar.storage import stage
 
 EVENTS = "timestamp long, user_id long, item_id long, event_type string, event_weight double, transaction_id string"
 HISTORY = "g int, ctx long, item_id long, weight double, timestamp long, position int"
@@ -189,12 +190,36 @@ def test_group_metrics_and_losses(spark):
 
 def test_rolling_history_is_strictly_earlier(spark):
     e = events(spark, [(0, 1, 1, "view"), (10, 1, 2, "view"), (80, 1, 3, "addtocart"), (90, 1, 3, "transaction"), (95, 2, 9, "transaction"), (99, 1, 1, "transaction")])
-    seq = windows.sequenced(e)
+    seq = windows.known(windows.sequenced(e))
     found = windows.number(windows.targets(seq, spark.createDataFrame([(0, 70, 100)], "g int, start long, end long")))
     assert rows(found, "ctx", "user_id", "item_id") == [(1, 1, 3)]
     assert rows(windows.point_in_time(seq, found), "item_id", "weight") == [(1, 1.0), (2, 1.0)]
 
 
+def test_point_in_time_equals_all_pairs(spark):
+    """Blocks and runs against every earlier event, on long and short users, with ties of time and repeats."""
+    draw = random.Random(7)
+    made = [(draw.randrange(n // 2 + 1), user, draw.randrange(kinds), draw.choice(["view", "addtocart", "transaction"])) for user, n, kinds in ((1, 150, 40), (2, 90, 4), (3, 3, 5), (4, 1, 1)) for _ in range(n)]
+    met = stage(windows.known(windows.sequenced(events(spark, made))), "met")
+    found = met.select(F.lit(0).alias("g"), (F.col("user_id") * 1000 + F.col("seq")).alias("ctx"), "user_id", "seq")
+    pairs = found.withColumnRenamed("seq", "until").join(met, "user_id").filter("seq < until")
+    folded = pairs.groupBy("g", "ctx", "user_id", "item_id").agg(F.sum("event_weight").alias("weight"), F.max("timestamp").alias("timestamp"))
+    names = "ctx", "position", "item_id", "weight", "timestamp"
+    for most, block in ((3, 4), (5, 1), (50, 64)):
+        out = history.capped(windows.point_in_time(met, found, most, block), most, "ctx")
+        assert rows(out, *names) == rows(history.capped(folded, most, "ctx"), *names)
+    until = found.withColumnRenamed("seq", "until").join(met.select("user_id", F.col("seq").alias("until"), "n_seen"), ["user_id", "until"])
+    seen = candidates.Before(met.filter("seq = first_seq").select("user_id", "item_id", "first_seq"), until)
+    assert rows(seen.rows(), "ctx", "item_id") == rows(folded, "ctx", "item_id")
+    some = spark.createDataFrame([(0, x) for x in (0, 2, 3)], "g int, item_id long")
+    every = found.select("g", "ctx").crossJoin(some.select("item_id"))
+    listed = folded.select("g", "ctx", "item_id")
+    assert rows(seen.rows(some), "ctx", "item_id") == rows(folded.filter("item_id IN (0, 2, 3)"), "ctx", "item_id")
+    assert rows(candidates.unseen(every, seen), "ctx", "item_id") == rows(candidates.unseen(every, listed), "ctx", "item_id")
+    zero = lambda sizes: rows(sizes, "ctx", "n_seen")
+    assert zero(candidates.context_sizes(found, listed, seen)) == zero(candidates.context_sizes(found, listed, listed))
+
+
 def test_item_index_is_dense(spark):
     items = spark.createDataFrame([(x,) for x in (30, 10, 20, 10, None)], "item_id long")
     assert rows(examples.item_index(items), "*") == [(10, 1), (20, 2), (30, 3)]
