@@ -55,7 +55,8 @@ def unseen(rows: DataFrame, seen: DataFrame | Before) -> DataFrame:
     """Rows (g, ctx, item_id, ...) whose item the context hasn't seen."""
     if isinstance(seen, DataFrame):
         return rows.join(seen.select("g", "ctx", "item_id"), ["g", "ctx", "item_id"], "left_anti")
-    own = rows.join(seen.contexts.select("g", "ctx", "user_id", "until"), ["g", "ctx"]).join(seen.met, ["user_id", "item_id"], "left")
+    who = F.col("user_id").alias("seen_by")  # rows may have a user_id
+    own = rows.join(seen.contexts.select("g", "ctx", who, "until"), ["g", "ctx"]).join(seen.met.select(who, "item_id", "first_seq"), ["seen_by", "item_id"], "left")
     return own.filter("first_seq IS NULL OR first_seq >= until").select(*rows.columns)
 
 

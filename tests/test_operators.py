@@ -212,7 +212,7 @@ def test_point_in_time_equals_all_pairs(spark):
     seen = candidates.Before(met.filter("seq = first_seq").select("user_id", "item_id", "first_seq"), until)
     assert rows(seen.rows(), "ctx", "item_id") == rows(folded, "ctx", "item_id")
     some = spark.createDataFrame([(0, x) for x in (0, 2, 3)], "g int, item_id long")
-    every = found.select("g", "ctx").crossJoin(some.select("item_id"))
+    every = found.select("g", "ctx", "user_id").crossJoin(some.select("item_id"))
     listed = folded.select("g", "ctx", "item_id")
     assert rows(seen.rows(some), "ctx", "item_id") == rows(folded.filter("item_id IN (0, 2, 3)"), "ctx", "item_id")
     assert rows(candidates.unseen(every, seen), "ctx", "item_id") == rows(candidates.unseen(every, listed), "ctx", "item_id")
