@@ -451,8 +451,8 @@ def serve_cold_start(spark, d):
 
 def serve_challenger(spark, d):
     rows = serving.online_features(*_served(spark, d))
-    scored = serving.rerank(rows, rankers.retrieval_prior() + F.col("popularity_share") * 0.5, live=True)
-    return scored.withColumn("challenger_score", F.round("challenger_score", 6)).filter("served_rank <= 10").select("user_id", "item_id", "rank", "challenger_score", "served_rank")
+    scored = serving.rerank(rows, F.round(rankers.retrieval_prior() + F.col("popularity_share") * 0.5, 6), live=True)  # ranked by what is shown
+    return scored.filter("served_rank <= 10").select("user_id", "item_id", "rank", "challenger_score", "served_rank")
 
 
 def popular_items(spark, d):

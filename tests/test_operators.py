@@ -295,3 +295,13 @@ def test_gate_and_stop():
     assert rankers.promote(0.2, 0.22, 1) and not rankers.promote(0.2, 0.2004, 1) and not rankers.promote(0.2, 0.3, 0)
     assert rankers.early_stop([0.1, 0.2, 0.2, 0.2, 0.2, 0.9]) == 1
     assert rankers.choose({"a": 1.0, "b": 1.0}) == "a"
+
+
+def test_challenger_ranks_by_the_score_it_shows(spark, monkeypatch):
+    from marlspar.plans import catalogue
+
+    near = spark.createDataFrame([(1, 7, 1, 0.5, 0.0, 0.0), (1, 3, 2, 0.5, 0.0, 0.0000004), (1, 2, 3, 0.5, 0.0, 0.0)], "user_id long, item_id long, rank int, rrf_share double, reciprocal_rank double, popularity_share double")
+    monkeypatch.setattr(catalogue, "_served", lambda *a: ())
+    monkeypatch.setattr(catalogue.serving, "online_features", lambda *a: near)
+    out = catalogue.serve_challenger(spark, "")
+    assert [(r.item_id, r.challenger_score) for r in out.orderBy("served_rank").collect()] == [(2, 1.0), (3, 1.0), (7, 1.0)]
