@@ -8,6 +8,7 @@ of summation doesn't show.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,9 @@ SOURCES = tuple(FUSION)
 SESSION_ITEMS, CATEGORIES = 10, 5
 #: Contexts that have seen more items than this find their popular items by ranks instead of arrays.
 LISTED = 1000
+#: Graphs of more edges than this aren't broadcast. History rows that a task follows through a graph.
+EDGES, FOLLOWED = 1 << 20, 20_000
+KEY = ["g", "ctx", "item_id"]
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,12 @@ class Before:
 
     met: DataFrame  # (user_id, item_id, first_seq), a row a pair
     contexts: DataFrame  # (g, ctx, user_id, until, n_seen)
+    listed: DataFrame | None = None  # (g, ctx, item_id) of the contexts that have seen LISTED items at most
+    deep: bool = True  # whether any has seen more
+
+    def others(self) -> Before:
+        """Without the listed contexts."""
+        return self if self.listed is None else Before(self.met, self.contexts.filter(F.col("n_seen") > LISTED))
 
     def rows(self, items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
         """(g, ctx, item_id), of these items (g, item_id) or contexts (g, ctx) only."""
@@ -54,7 +64,13 @@ class Before:
 def unseen(rows: DataFrame, seen: DataFrame | Before) -> DataFrame:
     """Rows (g, ctx, item_id, ...) whose item the context hasn't seen."""
     if isinstance(seen, DataFrame):
-        return rows.join(seen.select("g", "ctx", "item_id"), ["g", "ctx", "item_id"], "left_anti")
+        return rows.join(seen.select(*KEY), KEY, "left_anti")
+    if seen.listed is not None:
+        if not seen.deep:
+            return unseen(rows, seen.listed)
+        many = seen.others()
+        few, deep = (rows.join(many.contexts.select("g", "ctx"), ["g", "ctx"], how) for how in ("left_anti", "left_semi"))
+        return unseen(few, seen.listed).unionByName(unseen(deep, many))
     who = F.col("user_id").alias("seen_by")  # rows may have a user_id
     own = rows.join(seen.contexts.select("g", "ctx", who, "until"), ["g", "ctx"]).join(seen.met.select(who, "item_id", "first_seq"), ["seen_by", "item_id"], "left")
     return own.filter("first_seq IS NULL OR first_seq >= until").select(*rows.columns)
@@ -63,17 +79,25 @@ def unseen(rows: DataFrame, seen: DataFrame | Before) -> DataFrame:
 def seen_rows(seen: DataFrame | Before, items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
     """(g, ctx, item_id), of these items or contexts only."""
     if isinstance(seen, Before):
-        return seen.rows(items, contexts)
+        if seen.listed is None:
+            return seen.rows(items, contexts)
+        few = seen_rows(seen.listed, items, contexts)
+        return few.unionByName(seen.others().rows(items, contexts)) if seen.deep else few
     out = seen.select("g", "ctx", "item_id")
     out = out if items is None else out.join(items, ["g", "item_id"], "left_semi")
     return out if contexts is None else out.join(contexts, ["g", "ctx"], "left_semi")
 
 
-def expand(history: DataFrame, edges: DataFrame, score: str, seen: DataFrame | Before) -> DataFrame:
-    """(g, ctx, item_id, similarity, weight, timestamp, position): neighbours of history items that weren't seen."""
+def followed(history: DataFrame, edges: DataFrame, score: str, seen: DataFrame | Before, *sums: Column, contexts: DataFrame | None = None) -> DataFrame:
+    """(g, ctx, item_id, sums) of the neighbours of history items that weren't seen. sums are over similarity,
+    weight, timestamp, position and, with contexts, at. Histories are gathered by context first and graphs of
+    EDGES edges at most broadcast, so that a neighbour is summed where it is found; what was seen goes after that."""
     own = edges.select("g", F.col("item_id").alias("source"), F.col("other"), F.col(score).alias("similarity"))
-    out = history.withColumnRenamed("item_id", "source").join(own, ["g", "source"]).withColumnRenamed("other", "item_id")
-    return unseen(out, seen)
+    own = F.broadcast(own) if edges.count() <= EDGES else own
+    parts = max(history.sparkSession.sparkContext.defaultParallelism, history.count() // FOLLOWED)
+    by = history.withColumnRenamed("item_id", "source").repartition(parts, "g", "ctx")
+    by = by if contexts is None else by.join(contexts.select("g", "ctx", "at"), ["g", "ctx"])
+    return unseen(by.join(own, ["g", "source"]).withColumnRenamed("other", "item_id").groupBy(*KEY).agg(*sums), seen)
 
 
 def _total(value: Column) -> Column:
@@ -90,14 +114,16 @@ def decayed(value: str = "similarity") -> Column:
     return strength(F.col("weight")) / (F.col("position") + 1) * F.col(value)
 
 
-def neighbor_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
-    scored = expand(history, graph.neighbors, "similarity", seen).groupBy("g", "ctx", "item_id").agg(_total(decayed()).alias("score"))
-    return _ranked(scored, most, "item_cooccurrence")
+def neighbor_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, scored: DataFrame | None = None) -> DataFrame:
+    """scored: plain_scores, if they are there."""
+    if scored is None:
+        return _ranked(followed(history, graph.neighbors, "similarity", seen, _total(decayed()).alias("score")), most, "item_cooccurrence")
+    return _ranked(scored.select(*KEY, F.col("decayed_score").alias("score")), most, "item_cooccurrence")
 
 
 def session_scores(history: DataFrame, seen: DataFrame | Before, graph: Graph) -> DataFrame:
     recent = history.filter(F.col("position") < SESSION_ITEMS)
-    return expand(recent, graph.transitions, "transition_score", seen).groupBy("g", "ctx", "item_id").agg(_total(decayed()).alias("score"))
+    return followed(recent, graph.transitions, "transition_score", seen, _total(decayed()).alias("score"))
 
 
 def session_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
@@ -151,9 +177,9 @@ def popular_by_rank(contexts: DataFrame, seen: DataFrame, ranks: DataFrame, most
     return found.join(ranks.select("g", "item_id", F.col("rank").alias("place")), ["g", "place"]).select("g", "ctx", "item_id", F.col("nth").alias("rank"))
 
 
-def sources(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
-    """(g, ctx, item_id, source, rank) of all four sources."""
-    out = neighbor_source(history, seen, graph, most)
+def sources(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, scored: DataFrame | None = None) -> DataFrame:
+    """(g, ctx, item_id, source, rank) of all four sources. scored: plain_scores, if they are there."""
+    out = neighbor_source(history, seen, graph, most, scored)
     for other in (session_source(history, seen, graph, most), category_source(history, seen, graph, most), popular_source(contexts, seen, graph, most)):
         out = out.unionByName(other)
     return out
@@ -182,13 +208,10 @@ def contribution(fused: DataFrame) -> DataFrame:
 
 
 def plain_scores(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph) -> DataFrame:
-    """(g, ctx, item_id): undecayed and recency-weighted scores, number of sources, largest similarity."""
-    at = contexts.select("g", "ctx", "at")
-    found = expand(history, graph.neighbors, "similarity", seen).join(at, ["g", "ctx"])
+    """(g, ctx, item_id): undecayed, recency-weighted and decayed scores, number of sources, largest similarity."""
     value = strength(F.col("weight")) * F.col("similarity")
-    out = found.groupBy("g", "ctx", "item_id").agg(
-        _total(value).alias("score"), _total(value * recency(F.col("at"), F.col("timestamp"))).alias("recent_score"), F.count("*").alias("n_sources"), F.max("similarity").alias("max_similarity")
-    )
+    sums = [_total(value).alias("score"), _total(value * recency(F.col("at"), F.col("timestamp"))).alias("recent_score"), _total(decayed()).alias("decayed_score")]
+    out = followed(history, graph.neighbors, "similarity", seen, *sums, F.count("*").alias("n_sources"), F.max("similarity").alias("max_similarity"), contexts=contexts)
     return stage(out, "scores")  # ranked, joined and reduced to its maxima by the callers
 
 
@@ -230,12 +253,14 @@ def _with_category_share(rows: DataFrame, history: DataFrame, graph: Graph) -> D
     return own.withColumn("category_share", F.coalesce("category_share", F.lit(0.0))).drop("category_id")
 
 
-def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int, scored: DataFrame | None = None) -> DataFrame:
-    """The backfilled pool with its eight features. Scores are shares of the largest over everything scored,
-    not over the pool alone."""
+def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int, scored: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The backfilled pool with its eight features, or those of its rows that are in `only` (g, ctx, item_id).
+    Scores are shares of the largest over everything scored, not over the pool alone."""
     scored = plain_scores(contexts, history, seen, graph) if scored is None else scored
     top = scored.groupBy("g", "ctx").agg(F.max("score").alias("top_score"), F.max("recent_score").alias("top_recent"))
-    pool = backfilled(contexts, scored, seen, graph, most).join(scored, ["g", "ctx", "item_id"], "left").join(top, ["g", "ctx"], "left").join(context_sizes(contexts, history, seen), ["g", "ctx"])
+    pool = backfilled(contexts, scored, seen, graph, most)
+    pool = pool if only is None else pool.join(only.select(*KEY), KEY, "left_semi")
+    pool = pool.join(scored, KEY, "left").join(top, ["g", "ctx"], "left").join(context_sizes(contexts, history, seen), ["g", "ctx"])
     rows = _with_category_share(_with_popularity(pool, graph), history, graph)
     share = lambda a, b: F.coalesce(F.col(a) / F.col(b), F.lit(0.0))
     return rows.select(
@@ -258,11 +283,14 @@ def fallback_features(rows: DataFrame, contexts: DataFrame, history: DataFrame,
     return own.select(*rows.columns, *(v.alias(k) for k, v in values.items()))
 
 
-def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, fallback: str = "popularity") -> DataFrame:
-    """The fused pool with thirteen features; (g, ctx, item_id, rank, ENRICHED...). Items outside the base pool
-    get fallback features ("popularity") or zeros ("zeros")."""
-    fused = stage(fuse(stage(sources(contexts, history, seen, graph, most), "sources"), most), "fused")
-    base = stage(base_features(contexts, history, seen, graph, most).drop("rank"), "base")
+def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, fallback: str = "popularity", wanted: Callable[[DataFrame], DataFrame] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The fused pool with thirteen features; (g, ctx, item_id, rank, extra..., ENRICHED...). Items outside the base pool
+    get fallback features ("popularity") or zeros ("zeros"). wanted: chooses the rows of the fused pool that get
+    features, after all ranks, and may add the columns `extra`."""
+    scored = plain_scores(contexts, history, seen, graph)
+    fused = fuse(stage(sources(contexts, history, seen, graph, most, scored), "sources"), most)
+    fused = stage(fused if wanted is None else wanted(fused), "fused")
+    base = stage(base_features(contexts, history, seen, graph, most, scored, None if wanted is None else fused).drop("rank"), "base")
     held = fused.join(base.withColumn("held", F.lit(True)), ["g", "ctx", "item_id"], "left")
     if fallback == "popularity":
         spare = fallback_features(fused.select("g", "ctx", "item_id"), contexts, history, seen, graph)
@@ -271,4 +299,4 @@ def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame | Bef
     else:
         values = [F.coalesce(x, F.lit(0.0)).alias(x) for x in BASE]
     flags = [F.col(f"from_{s}").cast("double").alias(f"from_{s}") for s in SOURCES]
-    return held.select("g", "ctx", "item_id", "rank", *values, (F.col("rrf") / F.col("top_rrf")).alias("rrf_share"), *flags)
+    return held.select(*KEY, "rank", *extra, *values, (F.col("rrf") / F.col("top_rrf")).alias("rrf_share"), *flags)

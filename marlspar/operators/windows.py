@@ -26,31 +26,31 @@ class GraphOf:
 
     @cached_property
     def popularity(self) -> DataFrame:
-        return stage(history.popularity(self.events), "popularity")
+        return stage(history.popularity(self.events), "popularity", keep=True)
 
     @cached_property
     def neighbors(self) -> DataFrame:
         capped = history.capped(history.fold(self.events), self.max_history)
-        return stage(graph.neighbors(capped, NEIGHBORS).select("g", "item_id", "other", "similarity", "rank"), "neighbors")
+        return stage(graph.neighbors(capped, NEIGHBORS).select("g", "item_id", "other", "similarity", "rank"), "neighbors", keep=True)
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return stage(graph.transitions(self.events, SESSION_GAP, SESSION_EVENTS), "transitions")
+        return stage(graph.transitions(self.events, SESSION_GAP, SESSION_EVENTS), "transitions", keep=True)
 
     @cached_property
     def category_lists(self) -> DataFrame:
-        return stage(graph.category_lists(self.popularity, self.categories), "lists")
+        return stage(graph.category_lists(self.popularity, self.categories), "lists", keep=True)
 
     @cached_property
     def top(self) -> DataFrame:
-        return stage(history.top_items(self.popularity, self.most + candidates.LISTED), "top")
+        return stage(history.top_items(self.popularity, self.most + candidates.LISTED), "top", keep=True)
 
     @cached_property
     def ranks(self) -> DataFrame | None:
         """None where no context can have seen more than LISTED items, a list of candidates included."""
         if self.longest + self.most <= candidates.LISTED:
             return None
-        return stage(history.ranked(self.popularity).select("g", "item_id", "rank"), "ranks")
+        return stage(history.ranked(self.popularity).select("g", "item_id", "rank"), "ranks", keep=True)
 
 
 @dataclass(frozen=True)
@@ -180,8 +180,11 @@ def rolling(events: DataFrame, categories: DataFrame, ratios: tuple[tuple[float,
     numbered = stage(number(targets(seq, table)), "targets")
     own = history.capped(point_in_time(seq, numbered, max_history), max_history, "ctx")
     until = stage(numbered.join(seq.select("user_id", "seq", "n_seen"), ["user_id", "seq"]).select("g", "ctx", "user_id", F.col("seq").alias("until"), "n_seen"), "until")
-    seen = candidates.Before(seq.filter("seq = first_seq").select("user_id", "item_id", "first_seq"), until)
     longest = until.agg(F.max("n_seen")).first()[0] or 0
+    met = seq.filter("seq = first_seq").select("user_id", "item_id", "first_seq")
+    few = until.filter(F.col("n_seen") <= candidates.LISTED)
+    listed = stage(candidates.Before(met, few).rows(), "listed")
+    seen = candidates.Before(met, until, listed, longest > candidates.LISTED)
     contexts = numbered.select("g", "ctx", F.col("timestamp").alias("at"))
     return Rolling(numbered, contexts, stage(own, "history"), seen, GraphOf(early, categories, most, longest, max_history))
 

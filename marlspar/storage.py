@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +27,43 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/marlspar-{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Paths staged inside passing().
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+# What a write shuffled goes with it, and joins on (g, ctx, item) stay where rows already are by (g, ctx).
+_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back: plans stay small, nothing is computed twice, and what is
-    written outlives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written outlives lost executors. keep: passing() around it leaves it there."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    if not keep and (made := _PASSING.get()) is not None:
+        made.append(path)
+    with _settings(spark, _STAGING):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was staged inside, but for what is kept. Only for steps whose result is kept."""
+    token = _PASSING.set(made := [])
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

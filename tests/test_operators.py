@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -305,3 +306,23 @@ def test_challenger_ranks_by_the_score_it_shows(spark, monkeypatch):
     monkeypatch.setattr(catalogue.serving, "online_features", lambda *a: near)
     out = catalogue.serve_challenger(spark, "")
     assert [(r.item_id, r.challenger_score) for r in out.orderBy("served_rank").collect()] == [(2, 1.0), (3, 1.0), (7, 1.0)]
+
+
+def test_what_is_staged_on_the_way_is_removed(spark):
+    from marlspar.storage import passing, shared_dir, stage
+
+    with passing(spark):
+        first = stage(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count(), "on_the_way")
+        last = stage(first.filter("k > 0"), "wanted", keep=True)
+    assert last.count() == 2
+    found = [p.name for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()]
+    assert any(n.startswith("marlspar-wanted-") for n in found) and not any(n.startswith("marlspar-on_the_way-") for n in found)
+
+
+def test_neighbours_are_summed_where_they_are_found(spark):
+    h = spark.createDataFrame([(0, 1, 10, 1.0, 5, 0), (0, 1, 11, 1.0, 4, 1)], "g int, ctx long, item_id long, weight double, timestamp long, position int")
+    edges = spark.createDataFrame([(0, 10, 20, 0.5), (0, 11, 20, 0.25), (0, 10, 11, 1.0)], "g int, item_id long, other long, similarity double")
+    out = candidates.followed(h, edges, "similarity", h.select("g", "ctx", "item_id"), F.sum("similarity").alias("score"), F.count("*").alias("n"))
+    assert [tuple(r) for r in out.collect()] == [(0, 1, 20, 0.75, 2)]
+    plan = candidates.followed(h, edges, "similarity", spark.createDataFrame([], "g int, ctx long, item_id long"), F.sum("similarity").alias("score"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g#" in plan and "source" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
