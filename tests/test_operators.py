@@ -340,3 +340,12 @@ def test_neighbours_in_turns(spark):
     for entries in (1 << 27, 500):
         out = graph.neighbors(h, 5, entries=entries).withColumn("similarity", F.round("similarity", 8))
         assert rows(out, "item_id", "other", "similarity", "rank") == sorted(expected)
+
+
+def test_training_stages_what_the_losses_read(spark, monkeypatch):
+    from marlspar.plans import catalogue
+
+    made = spark.createDataFrame([(1, "train", 1, "9 8", 1, 0.5, 1.0, 0.1), (2, "validation", 1, "9", 1, 0.5, 1.0, 0.1)], "example_id long, split string, label int, history string, retrieved_positive int, rrf_share double, reciprocal_rank double, max_similarity double")
+    monkeypatch.setattr(catalogue, "rolling_examples", lambda *a: made.withColumn("candidate_item_id", F.lit(7)))
+    out = catalogue._training(spark, "")
+    assert tuple(out.columns) == catalogue._PRIOR and [r.example_id for r in out.collect()] == [1]
