@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ class Graph:
     top: DataFrame  # (g, items, scores), LISTED + the wanted number deep
     ranks: DataFrame | None = None  # (g, item_id, rank) of all popular items; None if no context has seen more than LISTED
 
+    @property
+    def items(self) -> DataFrame:
+        return described(self.popularity, self.categories)
+
 
 @dataclass(frozen=True)
 class Before:
@@ -49,10 +54,11 @@ class Before:
     contexts: DataFrame  # (g, ctx, user_id, until, n_seen)
     listed: DataFrame | None = None  # (g, ctx, item_id) of the contexts that have seen LISTED items at most
     deep: bool = True  # whether any has seen more
+    buckets: int = 0  # in so many lie contexts, listed and all other tables of these contexts by (g, ctx); 0: anywhere
 
     def others(self) -> Before:
         """Without the listed contexts."""
-        return self if self.listed is None else Before(self.met, self.contexts.filter(F.col("n_seen") > LISTED))
+        return self if self.listed is None else Before(self.met, self.contexts.filter(F.col("n_seen") > LISTED), buckets=self.buckets)
 
     def rows(self, items: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
         """(g, ctx, item_id), of these items (g, item_id) or contexts (g, ctx) only."""
@@ -61,6 +67,31 @@ class Before:
         return own.join(met, ["user_id"] if items is None else ["g", "user_id"]).filter("first_seq < until").select("g", "ctx", "item_id")
 
 
+def _buckets(seen: DataFrame | Before) -> int:
+    return seen.buckets if isinstance(seen, Before) else 0
+
+
+def _stage(rows: DataFrame, label: str, seen: DataFrame | Before) -> DataFrame:
+    """Staged in the buckets that the contexts lie in."""
+    return stage(rows, label, by=("g", "ctx"), buckets=_buckets(seen))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast where it has EDGES rows at most."""
+    return F.broadcast(table) if table.count() <= EDGES else table
+
+
+def described(popularity: DataFrame, categories: DataFrame) -> DataFrame:
+    """(g, item_id, popularity, category_id) of the items of a graph, of which all candidates are."""
+    return popularity.select("g", "item_id", F.col("score").alias("popularity")).join(categories.select("item_id", "category_id"), "item_id", "left").select("g", "item_id", "popularity", "category_id")
+
+
+def categorised(history: DataFrame, categories: DataFrame) -> DataFrame:
+    """history with category_id, which it may have already; rows without one go."""
+    own = history if "category_id" in history.columns else history.join(categories.select("item_id", "category_id"), "item_id")
+    return own.filter("category_id IS NOT NULL")
+
+
 def unseen(rows: DataFrame, seen: DataFrame | Before) -> DataFrame:
     """Rows (g, ctx, item_id, ...) whose item the context hasn't seen."""
     if isinstance(seen, DataFrame):
@@ -93,8 +124,8 @@ def followed(history: DataFrame, edges: DataFrame, score: str, seen: DataFrame |
     weight, timestamp, position and, with contexts, at. Histories are gathered by context first and graphs of
     EDGES edges at most broadcast, so that a neighbour is summed where it is found; what was seen goes after that."""
     own = edges.select("g", F.col("item_id").alias("source"), F.col("other"), F.col(score).alias("similarity"))
-    own = F.broadcast(own) if edges.count() <= EDGES else own
-    parts = max(history.sparkSession.sparkContext.defaultParallelism, history.count() // FOLLOWED)
+    own = small(own)
+    parts = _buckets(seen) or max(history.sparkSession.sparkContext.defaultParallelism, history.count() // FOLLOWED)
     by = history.withColumnRenamed("item_id", "source").repartition(parts, "g", "ctx")
     by = by if contexts is None else by.join(contexts.select("g", "ctx", "at"), ["g", "ctx"])
     return unseen(by.join(own, ["g", "source"]).withColumnRenamed("other", "item_id").groupBy(*KEY).agg(*sums), seen)
@@ -132,10 +163,9 @@ def session_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, m
 
 def category_source(history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100) -> DataFrame:
     """Popular items of the five latest categories, newest category first."""
-    known = history.join(graph.categories.select("item_id", "category_id"), "item_id")
-    first = known.groupBy("g", "ctx", "category_id").agg(F.min("position").alias("at"))
+    first = categorised(history, graph.categories).groupBy("g", "ctx", "category_id").agg(F.min("position").alias("at"))
     newest = first.withColumn("nth", F.row_number().over(Window.partitionBy("g", "ctx").orderBy("at"))).filter(F.col("nth") <= CATEGORIES)
-    items = unseen(newest.join(graph.category_lists, ["g", "category_id"]), seen)
+    items = unseen(newest.join(small(graph.category_lists), ["g", "category_id"]), seen)
     order = Window.partitionBy("g", "ctx").orderBy("nth", "category_rank")
     out = items.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return out.select("g", "ctx", "item_id", F.lit("category_popularity").alias("source"), "rank")
@@ -145,7 +175,7 @@ def popular_source(contexts: DataFrame, seen: DataFrame | Before, graph: Graph,
     """The first popular items that a context hasn't seen, nor has in `also` (g, ctx, item_id). Contexts that
     have seen `listed` items of the top list at most take the difference of two bounded arrays, the others go by
     ranks (popular_by_rank). Seen items off the list can't change the difference."""
-    wanted, more = contexts.select("g", "ctx"), lambda rows: rows if also is None else rows.unionByName(also)
+    wanted, more = contexts.select("g", "ctx"), lambda rows: rows if also is None else (_stage(rows, "near", seen) if _buckets(seen) else rows).unionByName(also)
     top = F.broadcast(graph.top.select("g", F.explode("items").alias("item_id")))  # LISTED + the wanted number a graph
     near = more(seen_rows(seen, top))
     if graph.ranks is not None:
@@ -179,10 +209,9 @@ def popular_by_rank(contexts: DataFrame, seen: DataFrame, ranks: DataFrame, most
 
 def sources(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int = 100, scored: DataFrame | None = None) -> DataFrame:
     """(g, ctx, item_id, source, rank) of all four sources. scored: plain_scores, if they are there."""
-    out = neighbor_source(history, seen, graph, most, scored)
-    for other in (session_source(history, seen, graph, most), category_source(history, seen, graph, most), popular_source(contexts, seen, graph, most)):
-        out = out.unionByName(other)
-    return out
+    made = neighbor_source(history, seen, graph, most, scored), session_source(history, seen, graph, most), category_source(history, seen, graph, most), popular_source(contexts, seen, graph, most)
+    # a union keeps buckets where its parts are read just as they were written
+    return reduce(DataFrame.unionByName, (_stage(x, "source", seen) for x in made) if _buckets(seen) else made)
 
 
 def fuse(ranked: DataFrame, most: int, weights: dict[str, float] = FUSION, constant: int = RANK_CONSTANT) -> DataFrame:
@@ -212,18 +241,18 @@ def plain_scores(contexts: DataFrame, history: DataFrame, seen: DataFrame | Befo
     value = strength(F.col("weight")) * F.col("similarity")
     sums = [_total(value).alias("score"), _total(value * recency(F.col("at"), F.col("timestamp"))).alias("recent_score"), _total(decayed()).alias("decayed_score")]
     out = followed(history, graph.neighbors, "similarity", seen, *sums, F.count("*").alias("n_sources"), F.max("similarity").alias("max_similarity"), contexts=contexts)
-    return stage(out, "scores")  # ranked, joined and reduced to its maxima by the callers
+    return _stage(out, "scores", seen)  # ranked, joined and reduced to its maxima by the callers
 
 
 def backfilled(contexts: DataFrame, scored: DataFrame, seen: DataFrame | Before, graph: Graph, most: int) -> DataFrame:
     """(g, ctx, item_id, rank, tier): scored candidates first, then popular items, `most` in all."""
     order = Window.partitionBy("g", "ctx").orderBy(F.desc("score"), "item_id")
     first = scored.select("g", "ctx", "item_id", F.lit(0).alias("tier"), F.row_number().over(order).alias("nth")).filter(F.col("nth") <= most)
-    first = stage(first, "first")
+    first = _stage(first, "first", seen)
     popular = popular_source(contexts, seen, graph, most, also=first.select("g", "ctx", "item_id"))
     both = first.unionByName(popular.select("g", "ctx", "item_id", F.lit(1).alias("tier"), F.col("rank").alias("nth")))
     place = Window.partitionBy("g", "ctx").orderBy("tier", "nth")
-    return stage(both.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).select("g", "ctx", "item_id", "rank", "tier"), "pool")
+    return _stage(both.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).select("g", "ctx", "item_id", "rank", "tier"), "pool", seen)
 
 
 def context_sizes(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before) -> DataFrame:
@@ -238,36 +267,44 @@ BASE = ("score_share", "log_popularity", "reciprocal_rank", "source_share", "his
 ENRICHED = (*BASE, "rrf_share", *(f"from_{s}" for s in SOURCES))
 
 
+#: Features of an item that need no place in the base pool.
+ANYWHERE = ("log_popularity", "history_size", "category_share")
+
+
 def _with_popularity(rows: DataFrame, graph: Graph) -> DataFrame:
+    """rows (with popularity) with log_popularity."""
     most = graph.top.select("g", F.element_at("scores", 1).alias("top_popularity"))  # a row a graph
-    out = rows.join(graph.popularity.select("g", "item_id", F.col("score").alias("popularity")), ["g", "item_id"], "left").join(F.broadcast(most), "g")
-    return out.withColumn("log_popularity", F.log1p(F.coalesce("popularity", F.lit(0.0))) / F.log1p("top_popularity"))
+    return rows.join(F.broadcast(most), "g").withColumn("log_popularity", F.log1p(F.coalesce("popularity", F.lit(0.0))) / F.log1p("top_popularity"))
 
 
 def _with_category_share(rows: DataFrame, history: DataFrame, graph: Graph) -> DataFrame:
-    """What part of a context's categorised history is of the row's category."""
-    known = history.join(graph.categories.select("item_id", "category_id"), "item_id").groupBy("g", "ctx", "category_id").agg(F.count("*").alias("n_category"))
+    """What part of a context's categorised history is of the category of the row (with category_id)."""
+    known = categorised(history, graph.categories).groupBy("g", "ctx", "category_id").agg(F.count("*").alias("n_category"))
     total = F.sum("n_category").over(Window.partitionBy("g", "ctx"))
     share = known.withColumn("category_share", F.col("n_category") / total).select("g", "ctx", "category_id", "category_share")
-    own = rows.join(graph.categories.select("item_id", "category_id"), "item_id", "left").join(share, ["g", "ctx", "category_id"], "left")
-    return own.withColumn("category_share", F.coalesce("category_share", F.lit(0.0))).drop("category_id")
+    return rows.join(share, ["g", "ctx", "category_id"], "left").withColumn("category_share", F.coalesce("category_share", F.lit(0.0))).drop("category_id")
 
 
-def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int, scored: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """The backfilled pool with its eight features, or those of its rows that are in `only` (g, ctx, item_id).
-    Scores are shares of the largest over everything scored, not over the pool alone."""
-    scored = plain_scores(contexts, history, seen, graph) if scored is None else scored
+def _with_features(rows: DataFrame, contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, scored: DataFrame) -> DataFrame:
+    """Candidates (g, ctx, item_id, place, ...) with the eight features; place: the rank in the base pool. Outside it
+    (null) they have those of ANYWHERE and zeros. Scores are shares of the largest over everything scored, not over the pool alone."""
     top = scored.groupBy("g", "ctx").agg(F.max("score").alias("top_score"), F.max("recent_score").alias("top_recent"))
-    pool = backfilled(contexts, scored, seen, graph, most)
-    pool = pool if only is None else pool.join(only.select(*KEY), KEY, "left_semi")
-    pool = pool.join(scored, KEY, "left").join(top, ["g", "ctx"], "left").join(context_sizes(contexts, history, seen), ["g", "ctx"])
-    rows = _with_category_share(_with_popularity(pool, graph), history, graph)
-    share = lambda a, b: F.coalesce(F.col(a) / F.col(b), F.lit(0.0))
-    return rows.select(
-        "g", "ctx", "item_id", "rank", share("score", "top_score").alias("score_share"), "log_popularity", (F.lit(1.0) / F.col("rank")).alias("reciprocal_rank"),
-        (F.coalesce("n_sources", F.lit(0)) / F.greatest("n_history", F.lit(1))).alias("source_share"), (F.log1p("n_seen") / F.log1p(F.lit(50.0))).alias("history_size"),
-        share("recent_score", "top_recent").alias("recency_share"), F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"), "category_share",
-    )
+    own = rows.join(scored, KEY, "left").join(top, ["g", "ctx"], "left").join(context_sizes(contexts, history, seen), ["g", "ctx"])
+    own = _with_category_share(_with_popularity(own.join(small(graph.items), ["g", "item_id"], "left"), graph), history, graph)
+    inside = lambda x: F.coalesce(F.when(F.col("place").isNotNull(), x), F.lit(0.0))
+    values = {
+        "score_share": inside(F.col("score") / F.col("top_score")), "log_popularity": F.col("log_popularity"), "reciprocal_rank": inside(F.lit(1.0) / F.col("place")),
+        "source_share": inside(F.coalesce("n_sources", F.lit(0)) / F.greatest("n_history", F.lit(1))), "history_size": F.log1p("n_seen") / F.log1p(F.lit(50.0)),
+        "recency_share": inside(F.col("recent_score") / F.col("top_recent")), "max_similarity": inside(F.col("max_similarity")), "category_share": F.col("category_share"),
+    }
+    return own.select(*rows.columns, *(values[x].alias(x) for x in BASE))
+
+
+def base_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int) -> DataFrame:
+    """The backfilled pool with its eight features."""
+    scored = plain_scores(contexts, history, seen, graph)
+    pool = backfilled(contexts, scored, seen, graph, most).select(*KEY, "rank", F.col("rank").alias("place"))
+    return _with_features(pool, contexts, history, seen, graph, scored).drop("place")
 
 
 def first_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph, most: int) -> DataFrame:
@@ -278,7 +315,8 @@ def first_features(contexts: DataFrame, history: DataFrame, seen: DataFrame | Be
 def fallback_features(rows: DataFrame, contexts: DataFrame, history: DataFrame, seen: DataFrame | Before, graph: Graph) -> DataFrame:
     """Rows (g, ctx, item_id, ...) with the eight features of an item outside the pool: popularity, history
     size and category only."""
-    own = _with_category_share(_with_popularity(rows.join(context_sizes(contexts, history, seen), ["g", "ctx"]), graph), history, graph)
+    own = rows.join(context_sizes(contexts, history, seen), ["g", "ctx"]).join(graph.popularity.select("g", "item_id", F.col("score").alias("popularity")), ["g", "item_id"], "left")
+    own = _with_category_share(_with_popularity(own.join(graph.categories.select("item_id", "category_id"), "item_id", "left"), graph), history, graph)
     values = {x: F.lit(0.0) for x in BASE} | {"log_popularity": F.col("log_popularity"), "history_size": F.log1p("n_seen") / F.log1p(F.lit(50.0)), "category_share": F.col("category_share")}
     return own.select(*rows.columns, *(v.alias(k) for k, v in values.items()))
 
@@ -288,15 +326,11 @@ def enriched_pool(contexts: DataFrame, history: DataFrame, seen: DataFrame | Bef
     get fallback features ("popularity") or zeros ("zeros"). wanted: chooses the rows of the fused pool that get
     features, after all ranks, and may add the columns `extra`."""
     scored = plain_scores(contexts, history, seen, graph)
-    fused = fuse(stage(sources(contexts, history, seen, graph, most, scored), "sources"), most)
-    fused = stage(fused if wanted is None else wanted(fused), "fused")
-    base = stage(base_features(contexts, history, seen, graph, most, scored, None if wanted is None else fused).drop("rank"), "base")
-    held = fused.join(base.withColumn("held", F.lit(True)), ["g", "ctx", "item_id"], "left")
-    if fallback == "popularity":
-        spare = fallback_features(fused.select("g", "ctx", "item_id"), contexts, history, seen, graph)
-        held = held.join(spare.select("g", "ctx", "item_id", *(F.col(x).alias(f"spare_{x}") for x in BASE)), ["g", "ctx", "item_id"])
-        values = [F.when(F.col("held"), F.col(x)).otherwise(F.col(f"spare_{x}")).alias(x) for x in BASE]
-    else:
-        values = [F.coalesce(x, F.lit(0.0)).alias(x) for x in BASE]
+    ranked = sources(contexts, history, seen, graph, most, scored)
+    fused = fuse(ranked if _buckets(seen) else stage(ranked, "sources"), most)
+    fused = _stage(fused if wanted is None else wanted(fused), "fused", seen)
+    place = backfilled(contexts, scored, seen, graph, most).select(*KEY, F.col("rank").alias("place"))
+    rows = _with_features(fused.join(place, KEY, "left"), contexts, history, seen, graph, scored)
+    outside = {x: F.when(F.col("place").isNotNull(), F.col(x)).otherwise(F.lit(0.0)) for x in ANYWHERE} if fallback == "zeros" else {}
     flags = [F.col(f"from_{s}").cast("double").alias(f"from_{s}") for s in SOURCES]
-    return held.select(*KEY, "rank", *extra, *values, (F.col("rrf") / F.col("top_rrf")).alias("rrf_share"), *flags)
+    return rows.select(*KEY, "rank", *extra, *(outside.get(x, F.col(x)).alias(x) for x in BASE), (F.col("rrf") / F.col("top_rrf")).alias("rrf_share"), *flags)

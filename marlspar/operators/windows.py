@@ -45,6 +45,10 @@ class GraphOf:
     def top(self) -> DataFrame:
         return stage(history.top_items(self.popularity, self.most + candidates.LISTED), "top", keep=True)
 
+    @cached_property
+    def items(self) -> DataFrame:
+        return stage(candidates.described(self.popularity, self.categories), "items", keep=True)
+
     @cached_property
     def ranks(self) -> DataFrame | None:
         """None where no context can have seen more than LISTED items, a list of candidates included."""

@@ -32,6 +32,9 @@ _PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 # What a write shuffled goes with it, and joins on (g, ctx, item) stay where rows already are by (g, ctx).
 _STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
+# A union takes its parts' columns for others where inferred filters have made them not null, and forgets their buckets.
+_BUCKETS = {"spark.sql.constraintPropagation.enabled": "false"}
+
 
 @contextmanager
 def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
@@ -45,15 +48,22 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def stage(df: DataFrame, label: str, keep: bool = False, by: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
     """Write to the shared folder and read back: plans stay small, nothing is computed twice, and what is
-    written outlives lost executors. keep: passing() around it leaves it there."""
+    written outlives lost executors. keep: passing() around it leaves it there. buckets: rows lie in so many
+    buckets by `by`, so that what is staged alike is joined and grouped by these columns without a shuffle."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     if not keep and (made := _PASSING.get()) is not None:
         made.append(path)
-    with _settings(spark, _STAGING):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _settings(spark, _STAGING | (_BUCKETS if buckets else {})):
+        if not buckets:
+            df.write.option("compression", "zstd").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        name = path.rpartition("/")[2].replace("-", "_")
+        df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).options(compression="zstd", path=path).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; files stay, and `found` knows them
+    return found
 
 
 @contextmanager

@@ -349,3 +349,20 @@ def test_training_stages_what_the_losses_read(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "rolling_examples", lambda *a: made.withColumn("candidate_item_id", F.lit(7)))
     out = catalogue._training(spark, "")
     assert tuple(out.columns) == catalogue._PRIOR and [r.example_id for r in out.collect()] == [1]
+
+
+def test_folds_in_turns_shuffle_no_pool(spark):
+    from marlspar.contracts import FOLDS
+    from marlspar.storage import shared_dir
+
+    rng = random.Random(11)
+    e = events(spark, [(t, rng.randrange(40), rng.randrange(15), rng.choice(("view", "addtocart", "transaction"))) for t in range(1000)])
+    categories = spark.createDataFrame([(i, i % 4) for i in range(12)], "item_id long, category_id long")
+    window = windows.rolling(e, categories, FOLDS, 10)
+    staged = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()}
+    one, before = examples.fold_examples(window, 10), staged()
+    many = examples.fold_examples(window, 10, at_once=50)
+    assert rows(many, *sorted(many.columns)) == rows(one, *sorted(one.columns)) and {r.fold for r in one.collect()} == {0, 1, 2, 3}
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    left = {name.split("-")[1] for name in staged() - before}
+    assert "pool" in left and not left & {"scores", "fused", "source", "first", "near", "contexts", "found"}
