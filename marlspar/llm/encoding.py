@@ -1,8 +1,9 @@
 """Whole-text encoding with the tokenizers library, each distinct chunk encoded once a worker.
 
 A text is cut where the tokenizer's own pre-tokenizer must cut too, so that the chunks' ids joined are
-the text's ids; a chunk that is new is put together from its pre-tokens. Both kinds are kept with their
-ids, in tables of bounded size.
+the text's ids. Word files: a chunk that is new is put together from its pre-tokens. Byte-level files: a
+block of texts is cut by its bytes, each distinct chunk of the block is looked up once, and the new ones
+go to the library many at a time. Chunks are kept with their ids, in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .common import blocks, flat
+
 _SPACE_AFTER_BLANK = re.compile(r"\s ")
 
 
@@ -47,12 +53,50 @@ def unicode_blanks(pattern: str) -> str:
 
 #: Pre-tokens of byte-level files, with the blanks that Unicode means.
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Chunks that a line end parts from others, whatever stands on its other side.
+_JOINED = re.compile(r" ?\S(?:[^\n]*\S)?")
 #: Pre-tokens of word files, which lower-case afterwards.
 _WORD_PIECES = regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
-#: Chunks that an encoder keeps: about 200 MB with the old generation.
+#: Chunks that an encoder keeps, besides those of one gathering: about 200 MB with the old generation.
 MOST = 700_000
+#: Bytes of a chunk that is kept, chunks gathered at a time, and new chunks in one text given to the library.
+KEPT, GATHERED, JOINED = 64, 1 << 20, 50
+
+
+def _cut_table() -> tuple[np.ndarray, np.ndarray]:
+    """(class of each byte, whether byte-level pre-tokens part between two classes). Classes: letters, digits,
+    other signs, apostrophe, space, other blanks, and the rest: control characters and bytes above 127."""
+    kind = np.full(256, 6, np.uint8)
+    kind[33:127] = 2
+    for c in range(33, 127):
+        kind[c] = 0 if chr(c).isalpha() else 1 if chr(c).isdigit() else kind[c]
+    kind[ord("'")], kind[32], kind[9:14] = 3, 4, 5
+    parts = np.zeros((7, 7), bool)
+    parts[0, [1, 2, 3, 4, 5]] = parts[1, [0, 2, 3, 4, 5]] = parts[2, [0, 1, 4, 5]] = True
+    parts[3, [1, 4, 5]] = True  # a letter may belong to the apostrophe
+    parts[5, [0, 1, 2, 3]] = True  # after a blank that stands alone, see byte_cuts
+    return kind, parts.ravel()
+
+
+_KIND, _PARTS = _cut_table()
+#: Blanks of two and three bytes, as one number each.
+_BLANKS = [np.array(sorted(int.from_bytes(c.encode()) for c in map(chr, range(128, 1 << 16)) if regex.match(r"\p{White_Space}", c) and len(c.encode()) == n)) for n in (2, 3)]
+
+
+def byte_cuts(body: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 texts that stand one after another, whether byte-level pre-tokens surely part before it.
+    Runs of blanks are never cut: what follows a run decides how it is parted."""
+    kind = _KIND[body]
+    cut = np.zeros(len(body), bool)
+    cut[1:] = _PARTS[kind[:-1] * np.uint8(7) + kind[1:]]
+    after = np.flatnonzero(cut[1:] & (kind[:-1] == 5)) + 1
+    cut[after[(after < 2) | (kind[after - 2] > 3)]] = False
+    wide = np.flatnonzero((body[1:] == 32) & (body[:-1] > 127)) + 1
+    last = body[wide - 1].astype(np.int64) + (body[wide - 2].astype(np.int64) << 8)
+    cut[wide[~np.isin(last, _BLANKS[0]) & ~np.isin(last + (body[wide - 3].astype(np.int64) << 16), _BLANKS[1])]] = True
+    return cut
 
 
 def cuts_at_spaces(pattern: str) -> bool:
@@ -111,7 +155,7 @@ class Encoder:
     settings than those known here are given whole texts."""
 
     def __init__(self, path: str, byte_level: bool, most: int = MOST):
-        """byte_level: spaces belong to the following chunk; else blanks are dropped. most: chunks kept, and a quarter as many other pre-tokens."""
+        """byte_level: spaces belong to the following chunk; else blanks are dropped. most: chunks kept."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,10 +164,14 @@ class Encoder:
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self._code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.whole = not splits_are_known(json.loads(self.tokenizer.to_str()), byte_level)
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self._findall = (_BYTE_PIECES if byte_level else _WORD_PIECES).findall
-        self.pieces = _Known(lambda x: (self._ids(x), True), most // 4)
-        self.chunks = _Known(self._chunk, most)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, self.added)) or "(?!)")
+        if byte_level:
+            line_end = self._ids("\n")
+            self._line_end = line_end if len(line_end) == self.dtype.itemsize and not any("\n" in x for x in self.added) else None
+            self.most, self.known, self.old = most, {}, {}
+        else:
+            self.chunks = _Known(self._chunk, most)
 
     def _ids(self, text: str) -> bytes:
         ids = array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -132,30 +180,110 @@ class Encoder:
         return ids.tobytes()
 
     def _chunk(self, chunk: str) -> tuple[bytes, bool]:
-        """A chunk's ids by its pre-tokens, where cutting it can't change how it is normalised; whether it may come again."""
-        if self.byte_level:
-            chunk = " " + chunk
-        elif not chunk.isascii() and ("\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk)):
+        """A word file's chunk by its pre-tokens, where cutting it can't change how it is normalised; whether it may come again."""
+        if not chunk.isascii() and ("\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk)):
             return self._ids(chunk), False
-        pieces = self._findall(chunk)
+        pieces = _WORD_PIECES.findall(chunk)
         if len(pieces) == 1:
             return self._ids(chunk), True
-        return b"".join(map(self._piece, pieces)), len(pieces) == 2
+        return b"".join(map(self.chunks.__getitem__, pieces)), len(pieces) == 2
+
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of byte-level chunks by the library. Between two chunks that neither hold a line end nor end in a
+        blank, nor begin with more than a space, a line end is a pre-token of its own; so many make one text."""
+        out, joined = [b""] * len(chunks), []
+        for i, chunk in enumerate(chunks):
+            if (chunk[1:] if chunk[0] == 32 else chunk).isalnum() or _JOINED.fullmatch(chunk.decode()):
+                joined.append(i)
+            else:
+                out[i] = self._ids(chunk.decode())
+        lists, texts = [], []
+        for own in (joined[i : i + JOINED] for i in range(0, len(joined), JOINED)):
+            text = b"\n".join([chunks[i] for i in own]).decode()
+            if self._line_end and not self.special.search(text):
+                lists.append(own)
+                texts.append(text)
+            else:
+                for i in own:
+                    out[i] = self._ids(chunks[i].decode())
+        for own, made in zip(lists, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(made.ids, self.dtype)
+            data, first, size = ids.tobytes(), 0, self.dtype.itemsize
+            ends = np.flatnonzero(ids == np.frombuffer(self._line_end, self.dtype)) * size
+            for i, end in zip(own, [*ends.tolist(), len(data)], strict=True):
+                out[i] = data[first:end]
+                first = end + size
+        return out
 
-    def _piece(self, piece: str) -> bytes:
-        """A pre-token that can be a chunk is kept as one."""
-        if not self.byte_level:
-            return self.chunks[piece]
-        return self.chunks[piece[1:]] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else self.pieces[piece]
+    def _values(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct byte-level chunks. Above `most` the table becomes the old generation, whose chunks move over as they are used."""
+        known = self.known
+        out = list(map(known.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i, value in zip(missing, map(self.old.get, [keys[i] for i in missing])):
+            if value is None:
+                new.append(i)
+            else:
+                out[i] = known[keys[i]] = value
+        for i, value in zip(new, self._new([keys[i] for i in new])):
+            out[i] = value
+            if len(keys[i]) <= KEPT:
+                known[keys[i]] = value
+        if len(known) >= self.most:
+            self.known, self.old = {}, known
+        return out
+
+    def _gather(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks of `body` that begin at `at`, number of ids a chunk)."""
+        if not len(at):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(body)).astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
+        data, ends = flat(chunks.dictionary)
+        data, ends = data.tobytes(), ends.tolist()
+        values = self._values([data[a:b] for a, b in zip(ends, ends[1:])])
+        data, ends = flat(pa.array(values, pa.large_binary()).take(chunks.indices))
+        return data[ends[0] : ends[-1]].view(self.dtype), np.diff(ends) // self.dtype.itemsize
+
+    def encode_column(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By blocks of a string column's texts: their ids, one text after another, and the number of ids a text. A null is empty."""
+        if self.whole or not self.byte_level:
+            for group in groups([x or "" for x in texts.to_pylist()]):
+                made = self.encode(group)
+                yield np.frombuffer(b"".join(made), self.dtype), np.array([len(x) // self.dtype.itemsize for x in made], np.int64)
+            return
+        texts = texts.fill_null("")
+        data, at = flat(texts.cast(pa.large_binary()))
+        for first, last in blocks(at, 1 << 22):
+            body, starts = data[at[first] : at[last]], at[first : last + 1] - at[first]
+            cut = byte_cuts(body)
+            for x in self.added:
+                for i in np.flatnonzero(pc.match_substring(texts.slice(first, last - first), x).to_numpy(zero_copy_only=False)):
+                    cut[starts[i] : starts[i + 1]] = False
+            cut[starts[:-1][np.diff(starts) > 0]] = True
+            places = np.flatnonzero(cut)
+            made = []
+            for i in range(0, len(places), GATHERED):
+                own = places[i : i + GATHERED + 1]
+                end = own[GATHERED] if len(own) > GATHERED else len(body)
+                made.append(self._gather(body[own[0] : end], own[:GATHERED] - own[0]))
+            ids, counts = (np.concatenate(x) for x in zip(*made or [self._gather(body, places)]))
+            before = np.concatenate([[0], np.cumsum(counts)])
+            yield ids, np.diff(before[np.searchsorted(places, starts)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, out = self.chunks.__getitem__, []
+        if self.whole:
+            return [self._ids(x) for x in texts]
+        out = []
+        if self.byte_level:
+            for ids, counts in self.encode_column(pa.array(texts, pa.large_string())):
+                ends = np.cumsum(counts)
+                out += [ids[a:b].tobytes() for a, b in zip(ends - counts, ends)]
+            return out
+        get = self.chunks.__getitem__
         for text in texts:
-            if self.whole or self.special.search(text):
+            if self.special.search(text):
                 out.append(self._ids(text))
-            elif self.byte_level:
-                head, *rest = cut_at_spaces(text)
-                out.append(b"".join((self.pieces[head], *map(get, rest))))
             else:
                 out.append(b"".join(map(get, text.replace("\n", " ").split(" "))))
         return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, narrow, scratch
-from .encoding import encoder, groups
+from .encoding import encoder
 
 NULL_ID = np.iinfo(np.int64).min
 
@@ -74,21 +74,21 @@ def _write_shards(directory: str, tokenizer: str, byte_level: bool, end_id: int)
     def run(batches):
         enc, shard = encoder(tokenizer, byte_level), TaskContext.get().partitionId()
         system, root = _open(directory)
-        end, ids, lengths = np.array([end_id], enc.dtype).tobytes(), [], []
+        ids, lengths = [], []
 
         def tokens():
             for batch in batches:
                 ids.append(batch["doc_id"].fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-                for group in groups(batch["text"].to_pylist()):
-                    for x in enc.encode(group):
-                        lengths.append(len(x) // enc.dtype.itemsize + 1)
-                        yield x + end
+                for made, counts in enc.encode_column(batch["text"]):
+                    lengths.append(counts + 1)
+                    yield np.insert(made, np.cumsum(counts), end_id).tobytes()
 
         _put(system, f"{root}/tokens-{shard:06d}.bin", tokens())
         if lengths:
             _put(system, f"{root}/docs-{shard:06d}.bin", [np.concatenate(ids).astype("<i8").tobytes()])
-            _put(system, f"{root}/lengths-{shard:06d}.bin", [np.array(lengths, "<i8").tobytes()])
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(lengths), "n_tokens": sum(lengths)}], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            counts = np.concatenate(lengths).astype("<i8")
+            _put(system, f"{root}/lengths-{shard:06d}.bin", [counts.tobytes()])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(counts), "n_tokens": int(counts.sum())}], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
         else:
             system.delete_file(f"{root}/tokens-{shard:06d}.bin")
 

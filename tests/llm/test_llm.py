@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -375,6 +376,37 @@ def test_encoder_equals_the_library(name, byte_level):
         assert np.frombuffer(ids, own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_chunks_share_calls_of_the_library():
+    own = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    library, calls = own.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(library, name)
+
+    own.tokenizer = Counted()
+    texts = [" ".join(f"{a}x{b}".translate(str.maketrans("0123456789", "abcdefghij")) for b in range(50)) for a in range(40)]
+    got = own.encode(texts)
+    assert len(calls) <= 10  # for 2,000 distinct words
+    assert [np.frombuffer(x, own.dtype).tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cuts_by_bytes_equal_the_library(monkeypatch):
+    own = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True, most=300)
+    rng = random.Random(2)
+    parts = [*" \t\n\v\f\r\x00\x1c\x7f'a0.-", "'s", "'ll", "'S", "don't", "the", " the", "é", "\u0301", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "²", "日", "🙂", "…", "<|endoftext|>", "<|endof", "text|>"]
+    for gathered in (7, 1 << 20):
+        monkeypatch.setattr(encoding, "GATHERED", gathered)
+        chosen = rng.sample(parts, 20)
+        texts = ["", *("".join(rng.choice(chosen) for _ in range(rng.randrange(20))) for _ in range(1500)), "\n", "", " "]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    column = pa.array(["x", None, "", "a b", "out"], pa.string()).slice(1, 3)
+    (ids, counts), = own.encode_column(column)
+    assert counts.tolist() == [0, 0, 2] and ids.tolist() == own.tokenizer.encode("a b").ids
+
+
 @pytest.mark.parametrize("name, byte_level, change", [("byte_bpe_50k.json", True, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}), ("byte_bpe_50k.json", True, {"normalizer": {"type": "Lowercase"}}), ("word_bpe_49k.json", False, {"normalizer": {"type": "NFC"}})])
 def test_other_settings_are_left_to_the_library(tmp_path, name, byte_level, change):
     with open(public_tokenizers.path(name)) as f:
