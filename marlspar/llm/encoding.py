@@ -82,7 +82,7 @@ def _cut_table() -> tuple[np.ndarray, np.ndarray]:
 
 _KIND, _PARTS = _cut_table()
 #: Blanks of two and three bytes, as one number each.
-_BLANKS = [np.array(sorted(int.from_bytes(c.encode()) for c in map(chr, range(128, 1 << 16)) if regex.match(r"\p{White_Space}", c) and len(c.encode()) == n)) for n in (2, 3)]
+_BLANKS = [np.array([int.from_bytes(c.encode()) for c in x]) for x in ("\x85\xa0", ["\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000"])]
 
 
 def byte_cuts(body: np.ndarray) -> np.ndarray:
