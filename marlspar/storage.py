@@ -66,6 +66,16 @@ def stage(df: DataFrame, label: str, keep: bool = False, by: tuple[str, ...] = (
     return found
 
 
+@contextmanager
+def measured(spark: SparkSession) -> Iterator[None]:
+    """Inside, a join broadcasts what a hint names or what adaptive execution has seen the rows' bytes of, never what is
+    only small as a file: sorted columns take a byte a row or two there, and a hundred in the driver."""
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or own
+    with _settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": seen}):
+        yield
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was staged inside, but for what is kept. Only for steps whose result is kept."""

@@ -366,3 +366,60 @@ def test_folds_in_turns_shuffle_no_pool(spark):
     assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
     left = {name.split("-")[1] for name in staged() - before}
     assert "pool" in left and not left & {"scores", "fused", "source", "first", "near", "contexts", "found"}
+
+
+def plans_of(monkeypatch, *modules):
+    """The plans of what modules stage from now on, by label, as they are planned there."""
+    made = {}
+
+    def staging(df, label, *a, **b):
+        made.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label, *a, **b)
+
+    for m in modules:
+        monkeypatch.setattr(m, "stage", staging)
+    return made
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from marlspar.storage import measured
+
+    ids = stage(spark.range(1000), "ids")
+    joined = lambda right: ids.join(right, "id").withColumn("x", F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with measured(spark), measured(spark):
+        assert "Broadcast" not in joined(ids) and "Broadcast" in joined(F.broadcast(ids))
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == before  # what rows take is still used
+    assert "Broadcast" in joined(ids) and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def rolling_window(spark, ratios=((0.7, 1.0),)):
+    rng = random.Random(12)
+    e = events(spark, [(t, rng.randrange(40), rng.randrange(15), rng.choice(("view", "addtocart", "transaction"))) for t in range(1000)])
+    categories = stage(spark.createDataFrame([(i, i % 4) for i in range(3, 40)], "item_id long, category_id long"), "categories")
+    return windows.rolling(e, categories, ratios, 10)
+
+
+def broadcast_against(made):
+    """Lines of joins that drop rows by a broadcast table: such tables hold a row a context, or more."""
+    lines = [(label, x.strip()) for label, plans in made.items() for p in plans for x in p.splitlines() if "LeftAnti" in x]
+    assert {"scores", "source"} <= {label for label, _ in lines}
+    return [x for x in lines if "Broadcast" in x[1]]
+
+
+def test_examples_broadcast_no_contexts(spark, monkeypatch):
+    made = plans_of(monkeypatch, windows, candidates, examples)
+    window = rolling_window(spark)
+    out = examples.rolling_examples(window, 850, 10)
+    assert broadcast_against(made) == []
+    assert "Broadcast" not in made["until"][0] and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.select("example_id").distinct().count() == window.found.count() == out.filter("label = 1").count()
+
+
+def test_folds_broadcast_no_contexts(spark, monkeypatch):
+    from marlspar.contracts import FOLDS
+
+    made = plans_of(monkeypatch, windows, candidates, examples)
+    examples.fold_examples(rolling_window(spark, FOLDS), 10)
+    assert broadcast_against(made) == []
