@@ -404,7 +404,7 @@ def positive_weight(spark, d):
 def _judged(rows: DataFrame) -> DataFrame:
     """Groups whose target was retrieved, of validation rows."""
     found = rows.filter("retrieved_positive = 1").select("example_id")
-    return rows.join(found, "example_id", "left_semi")
+    return rows.join(found.hint("merge"), "example_id", "left_semi")
 
 
 def metrics_prior_ranker(spark, d):
